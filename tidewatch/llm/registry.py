@@ -13,7 +13,9 @@ from .common import worker_files
 MODULES = {
     "op1_packing": "packing",
     "op3_trie_bpe": "trie_bpe",
+    "op4_url_filter": "url_filter",
     "op9_simple8b": "simple8b",
+    "op10_line_rules": "line_rules",
 }
 
 
