@@ -14,6 +14,8 @@ MODULES = {
     "op1_packing": "packing",
     "op3_trie_bpe": "trie_bpe",
     "op4_url_filter": "url_filter",
+    "op7_language_id": "language_id",
+    "op8_quality_net": "quality_net",
     "op9_simple8b": "simple8b",
     "op10_line_rules": "line_rules",
 }
