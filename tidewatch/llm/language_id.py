@@ -173,7 +173,7 @@ def _temperature(s: np.ndarray, y: np.ndarray) -> float:
         q = q - q.max(axis=1, keepdims=True)
         return float(np.mean(np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(y)), y]))
 
-    a, b, r = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
+    a, b, r = np.log(0.2), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
         c, d = b - r * (b - a), a + r * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)

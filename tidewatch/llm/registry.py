@@ -12,6 +12,7 @@ from .common import worker_files
 #: query -> module that defines a function of that name, and ORACLE_SQL there if SQL can express the query.
 MODULES = {
     "op1_packing": "packing",
+    "op2_toxicity": "toxicity",
     "op3_trie_bpe": "trie_bpe",
     "op4_url_filter": "url_filter",
     "op7_language_id": "language_id",
