@@ -101,6 +101,19 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
     return d.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).drop("_id", "_key", "removed")
 
 
+def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Texts aren't shuffled to be judged: the base rules are computed where a row is read, and only the ids of depleted
+    documents are joined back.
+    """
+    judged = quality_rules(docs, host, max_docs, max_share, min_left).where(~F.col("kept") & ~F.col("base_failed"))
+    depleted = judged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    base = text_counts(docs, keep=docs.columns).where(~F.col("base_failed"))
+    good = base.join(depleted, base["doc_id"].eqNullSafe(depleted["_id"]) & (base["_text_key"] == depleted["_key"]), "left_anti")
+    return good.select(docs.columns)
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).drop("text_key")
 

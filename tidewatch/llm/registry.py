@@ -15,6 +15,7 @@ MODULES = {
     "op2_toxicity": "toxicity",
     "op3_trie_bpe": "trie_bpe",
     "op4_url_filter": "url_filter",
+    "op5_jaccard_join": "jaccard_join",
     "op6_cover_tree": "cover_tree",
     "op7_language_id": "language_id",
     "op8_quality_net": "quality_net",
