@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, read
+from .common import WORD_SPLIT, read, stash
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,17 +35,12 @@ def _normal(line: Column) -> Column:
     return F.translate(F.trim(F.regexp_replace(line, WORD_SPLIT, " ")), _UPPER, _LOWER)
 
 
-def text_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """The counts of the base rules for each row of ``docs`` (doc_id, text), with the text's md5 as ``text_key``.
-
-    carry: the whole row goes along as the struct ``row``, whatever its columns are called.
-    """
-    along = ["row"] if carry else []
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    d = d.select("doc_id", *along, "t", F.array_remove(F.split("t", WORD_SPLIT), "").alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+def text_counts(docs: DataFrame) -> DataFrame:
+    """The counts of the base rules for each row of ``docs`` (doc_id, text), with the text's md5 as ``text_key``."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    d = d.select("doc_id", "t", F.array_remove(F.split("t", WORD_SPLIT), "").alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     d = d.select(
         "doc_id",
-        *along,
         F.md5("t").alias("text_key"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
@@ -109,12 +104,13 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
 def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    The base rules are decided where a row is read; only rows that pass them meet the ids of depleted documents.
+    The verdicts are written to the shared folder first: a filter on them must not reach into the expressions that
+    count words, which would then be evaluated again for every element.
     """
-    judged = quality_rules(docs, host, max_docs, max_share, min_left).where(~F.col("kept") & ~F.col("base_failed"))
-    depleted = judged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    base = text_counts(docs, carry=True).where(~F.col("base_failed"))
-    good = base.join(depleted, base["doc_id"].eqNullSafe(depleted["_id"]) & (base["text_key"] == depleted["_key"]), "left_anti")
+    verdicts = stash(quality_rules(docs, host, max_docs, max_share, min_left).select("doc_id", "text_key", "kept"), "verdicts")
+    bad = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    good = rows.join(bad, rows["row"]["doc_id"].eqNullSafe(bad["_id"]) & (rows["key"] == bad["_key"]), "left_anti")
     return good.select("row.*")
 
 
