@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import in_filter, key_filter, map_arrow, mix64, read, slices, stash
 from .components import connected_components
+from .tokens import ascii_words
 
 SHINGLE, NUMERATOR = 4, 85
 TABLE_BITS = 22
@@ -53,18 +54,7 @@ class Shingler:
 
     def sets(self, column: pa.Array) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
-        text = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-        lists = pc.ascii_split_whitespace(text)
-        flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-        if not len(column):
-            return []
-        offsets = offsets - offsets[0]
-        coded = flat.dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        if "" in words:  # white space at a text's ends
-            keep = codes != words.index("")
-            offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-            codes = codes[keep]
+        words, codes, offsets = ascii_words(pc.ascii_lower(column.cast(pa.large_string())))
         table = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) if words else np.zeros(0, np.uint64)
         h = table[codes]
         total, k = len(h), self.k

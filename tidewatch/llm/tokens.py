@@ -67,6 +67,23 @@ def ragged_take(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np
     return values[at]
 
 
+def ascii_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words between ASCII white space, each text's word codes one after another, and the texts' offsets."""
+    text = pc.replace_substring_regex(pc.fill_null(column.cast(pa.large_string()), ""), "[\\t\\n\\x0b\\x0c\\r]", " ")
+    lists = pc.split_pattern(text, " ")
+    if not len(column):
+        return [], np.zeros(0, np.int64), np.zeros(1, np.int64)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    coded = flat.dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    if "" in words:  # white space next to white space or at a text's ends
+        keep = codes != words.index("")
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        codes = codes[keep]
+    return words, codes, offsets
+
+
 class ChunkEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library, each distinct chunk of a block of texts once."""
 

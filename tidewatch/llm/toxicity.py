@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import crc_mod_py, map_arrow, read, slices
 from .quality_net import Adam, prior_shift
 from .sampling import labelled_texts
+from .tokens import ascii_words
 
 WINDOW, STEP = 48, 36
 WORDS, GRAMS = 1 << 16, 1 << 14
@@ -42,20 +42,6 @@ BLOCK = 4096  # windows scored together
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>"
 
 
-def word_lists(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words as they stand, each text's word codes one after another, and the texts' offsets."""
-    lists = pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(column.cast(pa.large_string()), "")))
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
-    coded = flat.dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    if "" in words:  # texts without words
-        keep = codes != words.index("")
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        codes = codes[keep]
-    return words, codes, offsets
-
-
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word slots, the trigram slots of all words one after another, and where each word's begin."""
     plain = [w.lower().strip(_STRIP) for w in words]
@@ -201,7 +187,7 @@ class ToxicNet:
 
     def document_logits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The worst window's logit and the number of windows of each text."""
-        words, codes, offsets = word_lists(column)
+        words, codes, offsets = ascii_words(column)
         first, length, doc = windows_of(offsets)
         cuts = np.flatnonzero(np.diff(doc, prepend=-1))
         z = self.window_logits(words, codes, first, length)
@@ -239,7 +225,7 @@ def fit(texts: list[str], labels: list[int], sizes: dict, epochs: int = EPOCHS)
     held = np.sort(order[: len(y) // 4]) if len(y) >= 40 else np.sort(order)
     own = np.sort(order[len(y) // 4 :]) if len(y) >= 40 else held
     column = pa.array([texts[i] for i in own], pa.large_string())
-    words, codes, offsets = word_lists(column)
+    words, codes, offsets = ascii_words(column)
     slots, grams, cuts = word_features(words)
     of = np.repeat(np.arange(len(own)), np.diff(offsets))  # the document of each running word
     per = np.diff(cuts)[codes]
