@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +53,8 @@ class Shingler:
 
     def sets(self, column: pa.Array) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
-        words, codes, offsets = ascii_words(pc.ascii_lower(column.cast(pa.large_string())))
-        table = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) if words else np.zeros(0, np.uint64)
+        words, codes, offsets = ascii_words(column)
+        table = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass").lower()) for w in words], np.uint64) if words else np.zeros(0, np.uint64)
         h = table[codes]
         total, k = len(h), self.k
         s = np.zeros(max(0, total - k + 1), np.uint64)
