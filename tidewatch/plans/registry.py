@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidewatch.plans import profiling  # noqa: F401  (importing registers)
+from tidewatch.plans.support import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
