@@ -87,7 +87,7 @@ def downstream(edges: DataFrame, roots: DataFrame, depth: int | None = DEFAULT_D
     A node counts where it is first met; the root isn't part. depth None: until nothing new is met. ordered: siblings in the
     order of namespace and column, ties in the order of edge_seq; else all in the order of edge_seq.
     """
-    key = lambda i: F.split("dst", ":")[i]
+    key = lambda i: F.coalesce(F.get(F.split("dst", ":"), F.lit(i)), F.lit(""))
     e = edges.select("src", "dst", "edge_seq")
     e = e.withColumns({"o1": key(0), "o2": key(2)}) if ordered else e.withColumns({"o1": F.lit(""), "o2": F.lit("")})
     frontier = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("ord", F.lit(0).cast("long"))

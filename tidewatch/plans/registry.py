@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import profiling  # noqa: F401  (importing registers)
+from tidewatch.plans import governance, operations, profiling  # noqa: F401  (importing registers)
 from tidewatch.plans.support import QUERIES, SQL
 
 
