@@ -96,7 +96,7 @@ def _events(hits: DataFrame, algorithm: str, word: str) -> DataFrame:
         F.lit(algorithm).alias("algorithm"), s.alias("observed"), t.alias("expected"), F.struct(F.lit(0.0).alias("lo"), t.alias("hi")).alias("expected_range"),
         F.concat(F.lit(f"{word} "), F.format_string("%.4f", s), F.lit(" exceeds threshold "), F.format_string("%.4f", t)).alias("description"),
         F.create_map(F.lit("algorithm"), F.lit(algorithm), F.lit("statistic"), F.format_string("%.4f", s), F.lit("threshold"), F.format_string("%.4f", t)).alias("context"),
-        (s / t).alias("raw_ratio"),
+        F.try_divide(s, t).alias("raw_ratio"),
     )
 
 

@@ -36,7 +36,7 @@ def check_rows(df: DataFrame, contract: list[dict]) -> DataFrame:
 
 def check_null_rates(df: DataFrame, contract: list[dict]) -> DataFrame:
     """column_name, null_rate, max_null_rate, passed."""
-    rate = lambda n: F.coalesce(F.count_if(F.col(f"`{n}`").isNull()) / F.count(F.lit(1)), F.lit(0.0))
+    rate = lambda n: F.coalesce(F.try_divide(F.count_if(F.col(f"`{n}`").isNull()), F.count(F.lit(1))), F.lit(0.0))
     found = F.array(*[F.struct(F.lit(c["name"]).alias("column_name"), rate(c["name"]).alias("null_rate"), F.lit(float(c.get("max_null_rate", 1.0))).alias("max_null_rate")) for c in contract])
     return df.agg(found.alias("c")).select(F.inline("c")).withColumn("passed", F.col("null_rate") <= F.col("max_null_rate"))
 
