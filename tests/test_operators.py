@@ -238,6 +238,7 @@ def test_streaming_profiles_drop_late_rows(spark, tmp_path):
     schema = "ts timestamp, value double"
     batches = [[(t(1, 1), 1.0), (t(1, 2), 3.0)], [(t(3, 1), 5.0)], [(t(1, 3), 99.0), (t(4, 9), 1.0)]]
     src = tmp_path / "in"
+    src.mkdir()
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
     q = None
     for i, rows in enumerate(batches):
