@@ -291,7 +291,8 @@ def near_texts():
     return texts + ["Same Text here", "same text HERE", "a", "A", None, ""]
 
 
-def test_jaccard_components_and_keep_one(spark):
+def test_jaccard_components_and_keep_one(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 3)  # so that lists are cut and blocks meet
     texts = near_texts()
     d = docs(spark, texts).repartition(3)
     d = d.unionByName(docs(spark, [None]).withColumn("doc_id", F.lit(None).cast("long")))
@@ -304,6 +305,18 @@ def test_jaccard_components_and_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in brute(texts, 4, 85)})
 
 
+def test_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 30)), dtype=np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        links = common > 0 and 100 * common >= 85 * (len(x) + len(y) - common)
+        a, b = (np.frombuffer(jaccard_join.parity_bitmap(v), np.uint64) for v in (x, y))
+        assert not links or jaccard_join._may_link(a, b, len(x), len(y), 85)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 

@@ -13,8 +13,10 @@ verifications, both estimated from the counts of its prefix tokens, are cheapest
 3. Prefixes are written once; tokens of one document alone are dropped.
 4. In each token's list the most typical document is a pivot: all others are verified against it, which joins groups of near copies in
    a number of pairs that grows with the group, not with its square.
-5. What is left is exact: tokens whose list still spans several components give all pairs across components, never within
-   one; those with enough shared tokens are verified on their texts.
+5. What is left is exact: in tokens whose list still spans several components, documents of different components are
+   compared in memory by parity bitmaps of their sets, in blocks of bounded size. As bitmaps differ in no more bits than sets
+   do in tokens, a pair whose bitmaps differ too much can't reach the threshold; only the rest leaves the task. Pairs with
+   enough shared tokens are verified on their texts.
 
 Fixed-size bitmaps only save shuffling; exact joins follow them. Every step's table goes to the shared folder.
 
@@ -43,7 +45,10 @@ LEAST_LEVEL = 3  # counts below 2**3 aren't worth ordering by
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
 TOKEN_FILTER_BITS = 26
-SLICE = 8 << 20
+SLICE = 4 << 20
+SIGNATURE_BITS = 512
+LIST_BLOCK = 1024  # longer lists are cut into blocks, and each two blocks meet
+STRIP = 128
 
 
 class Shingler:
@@ -95,6 +100,19 @@ def choose_prefix(levels: np.ndarray, n: int, num: int) -> tuple[int, int]:
     return best, base + best
 
 
+def parity_bitmap(x: np.ndarray) -> bytes:
+    """``SIGNATURE_BITS`` bits, each the parity of the tokens that fall on it."""
+    at = (x >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS
+    return np.packbits((np.bincount(at, minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _may_link(sig_x, sig_y, n_x, n_y, num: int) -> np.ndarray:
+    """Whether sizes and bitmaps leave room for the threshold: |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)."""
+    apart = np.bitwise_count(sig_x ^ sig_y).sum(axis=-1, dtype=np.int64)
+    near = (apart * (100 + num) <= (100 - num) * (n_x + n_y)) & (100 * np.minimum(n_x, n_y) >= num * np.maximum(n_x, n_y))
+    return near
+
+
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, fp1, fp2): the size and a 128-bit fingerprint of each row's set."""
 
@@ -157,15 +175,15 @@ def prefixes(docs: DataFrame, levels: np.ndarray, copies: np.ndarray, k: int, nu
                 order = np.argsort(lv, kind="stable")  # x ascends, so ties are in hash order
                 l, size = choose_prefix(lv[order], len(x), num)
                 fp = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes())[:8], "<i8")
-                rows.append((doc_id, len(x), l, int(1000 * (lv == 0).mean()), bool(in_filter(bitmap, fp.view(np.uint64))[0])))
+                rows.append((doc_id, len(x), l, int(1000 * (lv == 0).mean()), bool(in_filter(bitmap, fp.view(np.uint64))[0]), parity_bitmap(x)))
                 tokens.append(x[order[:size]].view(np.int64))
             if rows:
                 c = list(zip(*rows, strict=True))
                 ends = np.cumsum([0, *(len(t) for t in tokens)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4]), lists], names=["doc", "n", "l", "odd", "maybe_copy", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4]), pa.array(c[5], pa.binary()), lists], names=["doc", "n", "l", "odd", "maybe_copy", "sig", "tokens"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc long, n long, l int, odd int, maybe_copy boolean, tokens array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc long, n long, l int, odd int, maybe_copy boolean, sig binary, tokens array<long>")
 
 
 def postings(prefix: DataFrame) -> DataFrame:
@@ -206,15 +224,79 @@ def pivot_pairs(post: DataFrame, num: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def cross_pairs(post: DataFrame, component: DataFrame, num: int) -> DataFrame:
-    """Pairs of different components in tokens that span several."""
-    own = post.join(component.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    spans = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("token")
-    own = stash(own.join(spans, "token").drop("odd"), "spanning")
-    x, y = (own.select("token", *(F.col(c).alias(f"{name}_{side}") for c, name in (("doc", "doc"), ("n", "n"), ("l", "l"), ("comp", "comp")))) for side in "xy")
-    rows = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & _near_enough(num))
-    pairs = _matched(rows.select(F.col("doc_x").alias("x"), F.col("doc_y").alias("y"), "l_x", "l_y"))
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+def cross_pairs(post: DataFrame, component: DataFrame, signatures: DataFrame, num: int) -> DataFrame:
+    """Pairs of different components that share enough prefix tokens and whose bitmaps leave room for the threshold."""
+    own = post.join(component.select(F.col("u").alias("doc"), F.col("v").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).drop("odd")
+    spans = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c")).where(F.col("a") < F.col("b"))
+    own = own.join(spans.select("token", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks")), "token").join(signatures, "doc")
+    # a row meets every block of its list: it goes to the cell (i, j), i <= j, of its block and each other
+    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    own = own.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = own.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "n", "l", "comp", "sig")
+    dealt = cell.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches):
+            x, y, l = _compare(group, num)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(l.astype(np.int32))], names=["x", "y", "l"])
+
+    rows = map_arrow(dealt, run, "x long, y long, l int")
+    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m"), F.min("l").alias("l")).where(F.col("m") >= F.col("l")).select("x", "y")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end where a cell ends; a cell has two blocks of rows at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        keys = np.stack([batch.column(k).to_numpy() for k in ("token", "i", "j")])
+        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compare(group: pa.Table, num: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x < y and the matches needed, of the pairs of each cell that may link; a pair has a row a cell."""
+    token, i, j, mine, doc, n, l, comp = (group[c].to_numpy() for c in ("token", "i", "j", "mine", "doc", "n", "l", "comp"))
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint64).reshape(len(doc), -1)
+    edge = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    size = np.diff(np.append(edge, len(doc)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # small cells together: row r with row r + d of the same cell
+    cell = np.repeat(np.arange(len(edge)), size)
+    small = np.repeat(size <= 48, size)
+    for d in range(1, min(48, int(size.max()))):
+        a = np.flatnonzero((cell[:-d] == cell[d:]) & small[:-d])
+        if not len(a):
+            break
+        a = a[comp[a] != comp[a + d]]
+        a = a[_may_link(sig[a], sig[a + d], n[a], n[a + d], num)]
+        left.append(a)
+        right.append(a + d)
+    for start, count in zip(edge[size > 48].tolist(), size[size > 48].tolist(), strict=True):
+        rows = np.arange(start, start + count)
+        first = rows if i[start] == j[start] else rows[mine[rows] == i[start]]
+        second = rows if i[start] == j[start] else rows[mine[rows] == j[start]]
+        for s in range(0, len(first), STRIP):
+            f = first[s : s + STRIP]
+            ok = _may_link(sig[f][:, None], sig[second][None], n[f][:, None], n[second][None], num) & (comp[f][:, None] != comp[second][None])
+            if i[start] == j[start]:
+                ok &= f[:, None] < second[None]
+            a, b = np.nonzero(ok)
+            left.append(f[a])
+            right.append(second[b])
+    a, b = np.concatenate(left), np.concatenate(right)
+    # within a cell of two blocks, small ones compared all rows: those of one block belong to another cell
+    keep = (i[a] == j[a]) | (mine[a] != mine[b])
+    a, b = a[keep], b[keep]
+    return np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]), np.minimum(l[a], l[b])
 
 
 def only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -269,7 +351,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR)
     near = stash(verified(docs, tried, k, num), "near")
     copies_of = member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     component = stash(connected_components(near.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
-    rest = stash(cross_pairs(post, component, num).join(tried, ["x", "y"], "left_anti"), "cross-pairs")
+    rest = stash(cross_pairs(post, component, single.select("doc", "sig"), num).join(tried, ["x", "y"], "left_anti"), "cross-pairs")
     far = stash(verified(docs, rest, k, num), "far")
     links = near.unionByName(far).select(F.col("x").alias("u"), F.col("y").alias("v"))
     component = stash(connected_components(links), "components")
@@ -291,6 +373,7 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
             for batch in batches:
                 ids = batch.column(key)
                 hit = in_filter(bitmap.value, ids.to_numpy().view(np.uint64))
+                hit &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)  # rows without an id all stay
                 yield batch.drop_columns([key]).filter(pa.array(hit == maybe))
 
         return docs.withColumn(key, F.xxhash64("doc_id")).mapInArrow(run, schema)
