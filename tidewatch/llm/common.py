@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
 #: The separators of every word pattern used here: space and the six ASCII controls 0x09 to 0x0D.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -74,6 +76,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+                give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage, and what one held would add up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def crc_mod(doc_id, mod: int):

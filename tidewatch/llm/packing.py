@@ -27,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, read, slices
-from .tokens import ENCODE_BYTES, chunk_encoder, public_vocabulary
+from .tokens import chunk_encoder, public_vocabulary
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_SEQUENCES = 8
 BLOCK_TOKENS = 1 << 19
+SLICE = 10 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -122,7 +123,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
         packer = TierPacker(TaskContext.get().partitionId() << 40, tiers)
         encoder = chunk_encoder(vocabulary)
         end = np.array([end_id], dtype="<u4")
-        for part in slices(batches, "text", ENCODE_BYTES):
+        for part in slices(batches, "text", SLICE):
             doc_ids = part.column("doc_id").to_pylist()
             for lo, hi, ids, ends in encoder.encode(part.column("text")):
                 for i in range(lo, hi):

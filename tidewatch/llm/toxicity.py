@@ -38,7 +38,7 @@ MOST_CHARS = 4_000
 EPOCHS, BATCH, RATE = 9, 96, 0.02
 MOD, HELD_OUT = 3, 1
 REJECT_AT = 0.7
-BLOCK = 4096  # windows scored together
+BLOCK = 2048  # windows scored together
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>"
 
 
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicNet:
 
 def score_documents(docs: DataFrame, net: ToxicNet, reject_at: float = REJECT_AT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             ids = part.column("doc_id").to_pylist()
             score = net.scores(part.column("text"))
             columns = [pa.array(ids, pa.int64()), pa.array(crc_mod_py(ids, MOD) == HELD_OUT), pa.array(score), pa.array((score >= reject_at).astype(np.int32))]
@@ -282,7 +282,7 @@ def drop_toxic(docs: DataFrame, net: ToxicNet, reject_at: float = REJECT_AT) ->
     """The rows of ``docs`` that score below ``reject_at``, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             yield part.filter(pa.array(net.scores(part.column("text")) < reject_at))
 
     return docs.mapInArrow(run, docs.schema)
