@@ -228,10 +228,9 @@ def dash_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, sum(value) AS total FROM events GROUP BY 1, 2), s AS (SELECT *, avg(total) OVER (PARTITION BY user_id) AS mean, stddev_samp(total) OVER (PARTITION BY user_id) AS sd FROM w)
-SELECT user_id, start, round(total, 2) AS total, round(mean, 2) AS mean, round(sd, 2) AS sd, round((total - mean) / sd, 3) AS z FROM s WHERE sd > 0 AND (total - mean) / sd > 1.5""")
+SELECT user_id, start, round(total, 6) AS total, round(mean, 6) AS mean, round(sd, 6) AS sd, round((total - mean) / sd, 6) AS z FROM s WHERE sd > 0 AND (total - mean) / sd > 1.5""")
 def agent_spikes(spark: SparkSession, d: str) -> DataFrame:
-    found = rounded(dashboards.spikes(load(spark, d, "events"), "user_id", "ts", "value", "1 day", 1.5), 3)
-    return rounded(found.select("user_id", "start", *[F.round(c, 2).alias(c) for c in ("total", "mean", "sd")], "z"), 3)
+    return rounded(dashboards.spikes(load(spark, d, "events"), "user_id", "ts", "value", "1 day", 1.5), 6)
 
 
 @query("""WITH g AS (SELECT k, event_type, row_number() OVER (PARTITION BY k ORDER BY event_id) - row_number() OVER (PARTITION BY k, event_type ORDER BY event_id) AS i FROM (SELECT *, user_id % 3 AS k FROM events))
