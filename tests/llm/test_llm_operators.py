@@ -416,6 +416,20 @@ def test_line_rules(spark):
     assert line_rules.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_repeated_lines_count_whole_documents(spark):
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    cookie, legal, short = prose(60), prose(50), "short footer"
+    texts = [f"{cookie}\n{prose(20)}\n{legal}\n{prose(20)}\n{short}" for _ in range(40)]  # both template lines are longer than the content
+    r = {x.doc_id: x for x in line_rules.quality_rules(docs(spark, texts)).collect()}
+    assert all(x.n_removed_words == 112 and not x.kept for x in r.values())
+    # copies of one document neither make a line repeated nor hide one
+    page = f"{prose(60)}\n{short}"
+    texts = [f"{prose(60)}\n{short}" for _ in range(40)] + [page] * 200
+    r = line_rules.quality_rules(docs(spark, texts)).collect()
+    assert len(r) == 240 and all(x.n_removed_words == 2 and x.kept for x in r)
+
+
 def test_repeated_rows_get_the_same_verdict(spark):
     d = docs(spark, ["some words " * 40, "some words " * 40]).withColumn("doc_id", F.lit(1).cast("long"))
     rows = line_rules.quality_rules(d.unionByName(d.withColumn("doc_id", F.lit(None).cast("long")))).collect()

@@ -1,9 +1,9 @@
 """Operator 10: quality rules and cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (white space collapsed, A-Z lowered, digits to 0) and hashed. A line is repeated on a host if the host's
-distinct documents that hold it number more than ``max_docs`` and more than ``max_share`` of the host's documents. Copies
-are not distinct documents: documents count by a signature, the hash of their longest other line, and a line whose
-signatures are fewer than half of its documents belongs to a group of copies, not to a template, and stays. Repeated
+distinct documents that hold it number more than ``max_docs`` and more than ``max_share`` of the host's documents. Documents
+are told apart by the set of all their normalised lines, so copies count once, however many there are, and two documents with
+the same template and different content count twice. Texts that differ in a word are different documents. Repeated
 lines are removed, and a document is rejected when less than ``min_left`` of its words are left.
 
 A host may hold any share of the rows: counting is pre-aggregated by task, and the join of repeated lines to documents is salted.
@@ -58,23 +58,19 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, host and the document's normalised lines: hash ``h``, words ``w``, characters ``n``."""
+    """doc_id, text_key, host and the document's normalised lines: hash ``h``, words ``w``."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("host", F.lit("")).alias("host"))
     norm = F.transform(F.split("t", "\n"), _normal)
     d = d.select("doc_id", F.md5("t").alias("text_key"), "host", F.filter(norm, lambda x: x != "").alias("l"))
-    return d.withColumn("l", F.transform("l", lambda x: F.struct(F.md5(x).alias("h"), F.size(F.split(x, " ")).alias("w"), F.length(x).alias("n"))))
+    return d.withColumn("l", F.transform("l", lambda x: F.struct(F.md5(x).alias("h"), F.size(F.split(x, " ")).alias("w"))))
 
 
 def repeated_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, h): the normalised lines that recur on a host beyond the limits. ``docs``: doc_id, text, host."""
-    d = _lines(docs).withColumn("l", F.array_distinct("l"))
-    order = F.sort_array(F.transform("l", lambda x: F.struct((-x["n"]).alias("n"), x["h"].alias("h"))))
-    d = d.withColumn("top", F.slice(order, 1, 2))
-    d = d.select("host", F.get("top", F.lit(0))["h"].alias("a"), F.coalesce(F.get("top", F.lit(1))["h"], F.lit("")).alias("b"), F.explode("l").alias("l"))
-    d = d.select("host", F.col("l.h").alias("h"), F.when(F.col("l.h") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("sig"))
-    each = d.groupBy("host", "h", "sig").agg(F.count(F.lit(1)).alias("c"))
-    lines = each.groupBy("host", "h").agg(F.sum("c").alias("docs"), F.count(F.lit(1)).alias("kinds"))
-    lines = lines.where((F.col("kinds") > max_docs) & (2 * F.col("kinds") >= F.col("docs")))
+    d = _lines(docs).select("host", F.sort_array(F.array_distinct(F.transform("l", lambda x: x["h"]))).alias("hs"))
+    d = d.select("host", F.md5(F.concat_ws("", "hs")).alias("whole"), F.explode("hs").alias("h"))
+    each = d.groupBy("host", "h", "whole").agg(F.lit(1).alias("one"))  # in two steps, so that a hot line is counted by many tasks
+    lines = each.groupBy("host", "h").agg(F.count("one").alias("kinds")).where(F.col("kinds") > max_docs)
     hosts = docs.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("of"))
     return lines.join(hosts, "host").where(F.col("kinds") > max_share * F.col("of")).select("host", "h")
 
