@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10. Base rules are decided row by row; only documents with repeated lines meet the other table."""
+    """Operator 10. Base rules are decided row by row; the texts that stay go on without the lines repeated on their host (n_chars is the count before)."""
     return line_rules.keep_good(docs)
 
 

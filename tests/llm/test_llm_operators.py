@@ -430,6 +430,21 @@ def test_repeated_lines_count_whole_documents(spark):
     assert len(r) == 240 and all(x.n_removed_words == 2 and x.kept for x in r)
 
 
+def test_kept_texts_lose_their_repeated_lines(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    bodies = [(prose(60), prose(30)) for _ in range(40)]
+    texts = [f"Menu  {i % 10}\n\n{a}\r\nmenu {i % 10}\n{b}\nFOOTER" for i, (a, b) in enumerate(bodies)]
+    plain = f"{prose(60)}\n\n{prose(60)}\n"
+    d = docs(spark, [*texts, plain, None])
+    got = {r.doc_id: r for r in line_rules.keep_good(d).collect()}
+    assert sorted(got) == list(range(41))
+    assert [got[i].text for i in range(40)] == [f"\n{a}\r\n{b}" for a, b in bodies] and got[40].text == plain
+    before = {r.doc_id: r for r in line_rules.quality_rules(d).collect()}
+    assert all(len(texts[i].split()) - len(got[i].text.split()) == before[i].n_removed_words == 5 for i in range(40))
+    assert got[7].n_chars == 7 and got[7].score == "x"
+
+
 def test_repeated_rows_get_the_same_verdict(spark):
     d = docs(spark, ["some words " * 40, "some words " * 40]).withColumn("doc_id", F.lit(1).cast("long"))
     rows = line_rules.quality_rules(d.unionByName(d.withColumn("doc_id", F.lit(None).cast("long")))).collect()

@@ -3,8 +3,9 @@
 Lines are normalised (white space collapsed, A-Z lowered, digits to 0) and hashed. A line is repeated on a host if the host's
 distinct documents that hold it number more than ``max_docs`` and more than ``max_share`` of the host's documents. Documents
 are told apart by the set of all their normalised lines, so copies count once, however many there are, and two documents with
-the same template and different content count twice. Texts that differ in a word are different documents. Repeated
-lines are removed, and a document is rejected when less than ``min_left`` of its words are left.
+the same template and different content count twice. Texts that differ in a word are different documents. A document
+is rejected when less than ``min_left`` of its words are left without its repeated lines; ``keep_good`` takes these lines out
+of the texts that it keeps. The base rules judge the text as it came.
 
 A host may hold any share of the rows: counting is pre-aggregated by task, and the join of repeated lines to documents is salted.
 
@@ -58,11 +59,11 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, host and the document's normalised lines: hash ``h``, words ``w``."""
+    """doc_id, text_key, host and the document's normalised lines: hash ``h``, words ``w``, place ``at`` among all its lines."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("host", F.lit("")).alias("host"))
-    norm = F.transform(F.split("t", "\n"), _normal)
-    d = d.select("doc_id", F.md5("t").alias("text_key"), "host", F.filter(norm, lambda x: x != "").alias("l"))
-    return d.withColumn("l", F.transform("l", lambda x: F.struct(F.md5(x).alias("h"), F.size(F.split(x, " ")).alias("w"))))
+    norm = F.transform(F.split("t", "\n"), lambda x, i: F.struct(_normal(x).alias("x"), i.alias("at")))
+    d = d.select("doc_id", F.md5("t").alias("text_key"), "host", F.filter(norm, lambda s: s["x"] != "").alias("l"))
+    return d.withColumn("l", F.transform("l", lambda s: F.struct(F.md5(s["x"]).alias("h"), F.size(F.split(s["x"], " ")).alias("w"), s["at"].alias("at"))))
 
 
 def repeated_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -75,21 +76,22 @@ def repeated_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     return lines.join(hosts, "host").where(F.col("kinds") > max_share * F.col("of")).select("host", "h")
 
 
-def removed_words(docs: DataFrame, repeated: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(doc_id, text_key, removed): words in repeated lines, for documents that have any."""
-    d = _lines(docs).select("doc_id", "text_key", "host", F.posexplode("l").alias("at", "l"))
-    d = d.select("doc_id", "text_key", "at", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts)).cast("int").alias("salt"))
+def removed_lines(docs: DataFrame, repeated: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(doc_id, text_key, removed, places): the words in repeated lines and these lines' places, for documents that have any."""
+    d = _lines(docs).select("doc_id", "text_key", "host", F.explode("l").alias("l"))
+    d = d.select("doc_id", "text_key", "host", F.col("l.at").alias("at"), F.col("l.h").alias("h"), F.col("l.w").alias("w"))
+    d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts)).cast("int"))
     # a repeated line has more than max_docs rows, so its copies for the salts are fewer than the rows they meet
     hot = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = d.join(hot, ["host", "h", "salt"])
     once = met.groupBy("doc_id", "text_key", "at").agg(F.max("w").alias("w"))  # equal rows count once
-    return once.groupBy("doc_id", "text_key").agg(F.sum("w").cast("long").alias("removed"))
+    return once.groupBy("doc_id", "text_key").agg(F.sum("w").cast("long").alias("removed"), F.sort_array(F.collect_list("at")).alias("places"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """Counts and verdict for every row of ``docs`` (doc_id, text and the host column)."""
+def _judged(docs: DataFrame, host: str, max_docs: int, max_share: float, min_left: float) -> DataFrame:
+    """Counts, verdict and the ``places`` of repeated lines (null if none) for every row of ``docs``."""
     own = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"))
-    removed = removed_words(own, repeated_lines(own, max_docs, max_share)).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    removed = removed_lines(own, repeated_lines(own, max_docs, max_share)).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     d = text_counts(own)
     d = d.join(removed, d["doc_id"].eqNullSafe(removed["_id"]) & (d["text_key"] == removed["_key"]), "left")
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
@@ -97,17 +99,32 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
     return d.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).drop("_id", "_key", "removed")
 
 
+def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """Counts and verdict for every row of ``docs`` (doc_id, text and the host column)."""
+    return _judged(docs, host, max_docs, max_share, min_left).drop("places")
+
+
+def _without(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``row.*`` of ``rows`` (row, places) with the lines at ``places`` taken out of its text."""
+    # lines is read twice below, so that it is split once a row and not again for every line
+    d = rows.withColumn("lines", F.when(F.col("places").isNotNull(), F.split(F.col("row")["text"], "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places")
+    cut = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    d = d.withColumn("cut", F.when(F.col("places").isNotNull(), cut).otherwise(F.col("row")["text"]))
+    return d.select(*[F.col("cut").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns])
+
+
 def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that the rules keep, their repeated lines removed from ``text``; other columns are as they were.
 
     The verdicts are written to the shared folder first: a filter on them must not reach into the expressions that
     count words, which would then be evaluated again for every element.
     """
-    verdicts = stash(quality_rules(docs, host, max_docs, max_share, min_left).select("doc_id", "text_key", "kept"), "verdicts")
-    bad = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    verdicts = stash(_judged(docs, host, max_docs, max_share, min_left).select("doc_id", "text_key", "kept", "places"), "verdicts")
+    noted = verdicts.where(~F.col("kept") | F.col("places").isNotNull()).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}).dropDuplicates(["_id", "_key"])
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    good = rows.join(bad, rows["row"]["doc_id"].eqNullSafe(bad["_id"]) & (rows["key"] == bad["_key"]), "left_anti")
-    return good.select("row.*")
+    good = rows.join(noted, rows["row"]["doc_id"].eqNullSafe(noted["_id"]) & (rows["key"] == noted["_key"]), "left").where(F.coalesce("kept", F.lit(True)))
+    return _without(good.select("row", "places"), docs.columns)
 
 
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
