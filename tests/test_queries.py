@@ -22,3 +22,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())
+
+
+def test_arrival_prediction_takes_every_event(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect()
+    assert len(events) > 300
+    last, smoothed = {}, {}
+    for e in events:
+        if e.event_type in last:
+            gap = (e.ts - last[e.event_type]).total_seconds()
+            smoothed[e.event_type] = 0.3 * gap + 0.7 * smoothed[e.event_type] if e.event_type in smoothed else gap
+        last[e.event_type] = e.ts
+    got = {r.dataset: r for r in registry.queries()["arrival_prediction_all"](spark, sf_dir).collect()}
+    assert {k: r.last_arrival for k, r in got.items()} == last
+    assert all(abs(r.smoothed_gap_seconds - smoothed[k]) < 0.02 for k, r in got.items())

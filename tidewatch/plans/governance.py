@@ -191,10 +191,19 @@ def freshness_maintenance(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT dataset, i, ts, gap AS s FROM a WHERE i = 2 UNION ALL SELECT a.dataset, a.i, a.ts, 0.3 * a.gap + 0.7 * r.s FROM r JOIN a ON a.dataset = r.dataset AND a.i = r.i + 1)
 SELECT dataset, max_by(ts, i) AS last_arrival, round(max_by(s, i), 2) AS smoothed_gap_seconds FROM r GROUP BY dataset""")
 def arrival_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """The first 300 events only, as in its SQL; ``arrival_prediction_all`` has the whole table."""
     e = load(spark, d, "events").where("event_id <= 300").select(F.col("event_type").alias("dataset"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
     return rounded(freshness.predicted_arrival(e), 2)
 
 
+@query("""WITH a AS (SELECT event_type AS dataset, event_id, ts, date_diff('microsecond', lag(ts) OVER w, ts) / 1000000 AS gap, count(*) OVER (PARTITION BY event_type) - row_number() OVER w AS back, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
+SELECT dataset, max_by(ts, event_id) AS last_arrival, round(sum(CASE WHEN i = 2 THEN 1 ELSE 0.3 END * pow(0.7, back) * gap), 2) AS smoothed_gap_seconds FROM a GROUP BY dataset""")
+def arrival_prediction_all(spark: SparkSession, d: str) -> DataFrame:
+    """``arrival_prediction`` over every event; its SQL is the closed weighted sum, as a recursion takes a step an event."""
+    e = load(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    return rounded(freshness.predicted_arrival(e), 2)
+
+
 # --- lineage ------------------------------------------------------------------------------------------------------
 
 _EDGES = """(VALUES ('raw.a:v1:id', 'st.b:v1:source_id', 'direct', 'p1', 1.0, 1), ('raw.a:v1:id', 'st.b:v1:alt_id', 'direct', 'p1', 0.9, 2), ('st.b:v1:source_id', 'dw.c:v1:final_id', 'derived', 'p2', 0.7, 3),
