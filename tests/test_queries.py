@@ -36,3 +36,15 @@ def test_arrival_prediction_takes_every_event(spark, sf_dir):
     got = {r.dataset: r for r in registry.queries()["arrival_prediction_all"](spark, sf_dir).collect()}
     assert {k: r.last_arrival for k, r in got.items()} == last
     assert all(abs(r.smoothed_gap_seconds - smoothed[k]) < 0.02 for k, r in got.items())
+
+
+def test_freshness_takes_every_event(spark, sf_dir):
+    sla = {"click": 3600, "view": 36000, "purchase": 1800}
+    last, want = {}, {}
+    for e in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect():
+        if e.event_type in sla:
+            stale = max(0.0, (e.ts - last[e.event_type]).total_seconds()) if e.event_type in last else float(sla[e.event_type])
+            want[2 * e.event_id] = (e.ts, last.get(e.event_type), round(stale, 3))
+        last[e.event_type] = e.ts
+    got = registry.queries()["freshness_monotonic_all"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {r.seq: (r.check_time, r.last_updated, r.staleness_seconds) for r in got} == want
