@@ -345,6 +345,8 @@ def test_components(spark):
     got = {r.u: r.v for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    with pytest.raises(RuntimeError, match="still change"):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long"), most=1)
 
 
 def test_key_filter_has_no_false_negatives(spark):

@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(u, v): every node of ``edges`` (u, v) with the smallest node of its component, itself included if it is that.
 
     Each step groups by node with pre-aggregation and writes its edges to the shared folder; a node's neighbours never meet in
-    one task. Ends when a round changes nothing, after a number of rounds that grows with the logarithm of the input.
+    one task. Ends when a round changes nothing, after a number of rounds that grows with the logarithm of the input; if
+    ``most`` rounds don't suffice it raises, as its edges would then split components.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
     e = stash(e, "edges")
@@ -35,5 +36,7 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     roots = e.select(F.col("v").alias("u")).distinct()
     return e.unionByName(roots.withColumn("v", F.col("u")))
