@@ -432,6 +432,14 @@ def test_repeated_lines_count_whole_documents(spark):
     assert len(r) == 240 and all(x.n_removed_words == 2 and x.kept for x in r)
 
 
+def test_copies_do_not_raise_the_share(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = [f"{prose(60)}\nshort footer" for _ in range(40)] + [prose(60)] * 60  # 40 of 41 documents, 40 of 100 rows
+    r = {x.doc_id: x for x in line_rules.quality_rules(docs(spark, texts), max_share=0.5).collect()}
+    assert all(r[i].n_removed_words == (2 if i < 40 else 0) for i in range(100))
+
+
 def test_kept_texts_lose_their_repeated_lines(spark):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))

@@ -1,7 +1,9 @@
 """Operator 10: quality rules and cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (white space collapsed, A-Z lowered, digits to 0) and hashed. A line is repeated on a host if the host's
-distinct documents that hold it number more than ``max_docs`` and more than ``max_share`` of the host's documents. Documents
+distinct documents that hold it number more than ``max_docs`` and more than ``max_share`` of the host's distinct documents. On
+a host of up to 30,000 the first limit decides; above, the share does, since phrases that recur by chance grow in number with
+the host while a template's share doesn't shrink. Documents
 are told apart by the set of all their normalised lines, so copies count once, however many there are, and two documents with
 the same template and different content count twice. Texts that differ in a word are different documents. A document
 is rejected when less than ``min_left`` of its words are left without its repeated lines; ``keep_good`` takes these lines out
@@ -69,11 +71,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, h): the normalised lines that recur on a host beyond the limits. ``docs``: doc_id, text, host."""
     d = _lines(docs).select("host", F.sort_array(F.array_distinct(F.transform("l", lambda x: x["h"]))).alias("hs"))
-    d = d.select("host", F.md5(F.concat_ws("", "hs")).alias("whole"), F.explode("hs").alias("h"))
+    # the empty hash stands for the document itself, so that a host's distinct documents are counted in the same pass
+    d = d.select("host", F.md5(F.concat_ws("", "hs")).alias("whole"), F.explode(F.concat(F.array(F.lit("")), "hs")).alias("h"))
     each = d.groupBy("host", "h", "whole").agg(F.lit(1).alias("one"))  # in two steps, so that a hot line is counted by many tasks
-    lines = each.groupBy("host", "h").agg(F.count("one").alias("kinds")).where(F.col("kinds") > max_docs)
-    hosts = docs.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("of"))
-    return lines.join(hosts, "host").where(F.col("kinds") > max_share * F.col("of")).select("host", "h")
+    counts = each.groupBy("host", "h").agg(F.count("one").alias("kinds")).where((F.col("h") == "") | (F.col("kinds") > max_docs))
+    counts = stash(counts, "lines")  # read twice; it holds the hosts and the few lines that recur
+    hosts = counts.where("h = ''").select("host", F.col("kinds").alias("of"))
+    return counts.where("h <> ''").join(hosts, "host").where(F.col("kinds") > max_share * F.col("of")).select("host", "h")
 
 
 def removed_lines(docs: DataFrame, repeated: DataFrame, salts: int = SALTS) -> DataFrame:
