@@ -188,6 +188,13 @@ def test_toxicity_learns_and_scores_odd_texts():
     assert (toxicity.fit([], [], {}).scores(pa.array(["x", None])) == 0.5).all()
 
 
+def test_toxicity_holds_the_window_term_beyond_the_fit():
+    net = toxicity.fit([f"word{i} other " * (20 + i) for i in range(60)], [i % 2 for i in range(60)], {0: 30, 1: 30})
+    net.curve = np.array([0.0, -1.0, 0.0])
+    short, long, longer = net.scores(pa.array(["a", "word " * 5000, "word " * 20000]))
+    assert short == 0.5 and 0 < long == longer and 1 / (1 + net.most_windows) == pytest.approx(long)
+
+
 def test_toxic_filter_keeps_columns(spark):
     net = toxicity.fit([], [], {})
     d = docs(spark, ODD)

@@ -4,7 +4,7 @@ Input of a step is a word: a hashed word vector plus the mean of its hashed char
 borders), so words never seen still have a meaning. Words run through a gated recurrent unit in each direction; attention weighs
 the steps of a window and a logistic layer gives the window's logit. Overlapping windows (``WINDOW`` words, ``STEP`` apart)
 cover the whole text; a document's score is its worst window's logit, put through a logistic curve fitted on rows that
-training left out, with the number of windows as second input.
+training left out, with the number of windows as second input; beyond the most windows of those rows that input stays as it is.
 
 Training is multiple-instance: at each pass every window of the sample's documents is scored and each document trains through its
 worst window. The sample is bounded (``PER_LABEL`` texts a label, none over ``MOST_CHARS`` characters). Scoring projects each
@@ -88,6 +88,7 @@ class ToxicNet:
             self.p[f"w{d}"] = n(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5)
             self.p[f"b{d}"] = np.zeros(3 * HIDDEN, np.float32)
         self.curve = np.array([1.0, 0.0, 0.0])
+        self.most_windows = np.inf
 
     def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slots, grams, cuts = word_features(words)
@@ -197,7 +198,7 @@ class ToxicNet:
         if not len(column):
             return np.zeros(0)
         z, n = self.document_logits(column)
-        s = self.curve[0] * z + self.curve[1] * np.log(n) + self.curve[2]
+        s = self.curve[0] * z + self.curve[1] * np.log(np.minimum(n, self.most_windows)) + self.curve[2]
         return 1 / (1 + np.exp(-np.clip(s.astype(np.float64), -60, 60)))
 
 
@@ -257,6 +258,7 @@ def fit(texts: list[str], labels: list[int], sizes: dict, epochs: int = EPOCHS)
             adam.step(net.gradients(parts, local, mask, yd[batch]))
             done += 1
     z, n = net.document_logits(pa.array([texts[i] for i in held], pa.large_string()))
+    net.most_windows = int(n.max())
     net.curve = _logistic(np.stack([z, np.log(n)], axis=1).astype(np.float64), y[held])
     net.curve[2] += prior_shift(y, sizes)
     return net
