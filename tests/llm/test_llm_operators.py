@@ -177,7 +177,7 @@ def labelled(n, seed):
 
 def test_toxicity_learns_and_scores_odd_texts():
     train, test = labelled(300, 1), labelled(150, 2)
-    net = toxicity.fit([t for t, _ in train], [y for _, y in train], {0: 200, 1: 100})
+    net = toxicity.fit([t for t, _ in train], [y for _, y in train])
     s = net.scores(pa.array([t for t, _ in test]))
     y = np.array([y for _, y in test])
     assert ((s >= 0.7) == y).mean() > 0.9
@@ -185,18 +185,113 @@ def test_toxicity_learns_and_scores_odd_texts():
     assert ((odd >= 0) & (odd <= 1)).all() and net.scores(pa.array([], pa.string())).shape == (0,)
     hidden = net.scores(pa.array(["aaa bbb " * 3000 + "zzrude zzvile zzrude" + " ccc ddd" * 3000]))
     assert hidden[0] > net.scores(pa.array(["aaa bbb " * 3000 + " ccc ddd" * 3000]))[0]  # no window is left out
-    assert (toxicity.fit([], [], {}).scores(pa.array(["x", None])) == 0.5).all()
+    assert (toxicity.fit([], []).scores(pa.array(["x", None])) == 0.5).all()
+
+
+def test_toxicity_knows_respelt_and_unseen_words():
+    """Slurs with a doubled vowel, a digit for a letter or an ending, and stems with endings that training never met."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    slurs, ends = ["quorvex", "trumpox", "snorlit", "wozzum"], ["a", "be", "cid", "ha", "jig", "fe"]
+    unseen = ["og", "eth", "addi", "iff"]
+
+    def text(toxic, forms):
+        words = [word() for _ in range(rng.randint(20, 150))]
+        for _ in range(3 * toxic):
+            words.insert(rng.randint(0, len(words)), rng.choice(forms))
+        return " ".join(words)
+
+    train = [(text(i % 3 == 0, [*slurs, *("zukka" + e for e in ends), *("prylo" + e for e in ends)]), int(i % 3 == 0)) for i in range(600)]
+    net = toxicity.fit([t for t, _ in train], [y for _, y in train])
+    caught = lambda forms: (net.scores(pa.array([text(True, forms) for _ in range(60)])) >= 0.7).mean()
+    assert caught(slurs) > 0.95 and (net.scores(pa.array([text(False, []) for _ in range(300)])) >= 0.7).mean() < 0.03
+    assert caught(["quoorvex", "truumpox", "snoorlit", "woozzum"]) > 0.9
+    assert caught(["qu0rvex", "trump0x", "sn0rl1t", "w0zzum"]) > 0.9
+    assert caught([w + "s" for w in slurs]) > 0.8
+    assert caught([s + e for s in ("zukka", "prylo") for e in unseen]) > 0.8
+
+
+def small_net(seed):
+    rng = np.random.default_rng(seed)
+    word_row, gram_row = rng.integers(0, 9, toxicity.WORDS), rng.integers(0, 40, toxicity.GRAMS)
+    net = toxicity.ToxicNet(rng, word_row.astype(np.int32), gram_row.astype(np.int32))
+    net.p = {k: rng.normal(0, 0.4, v.shape) for k, v in net.p.items()}
+    return net
+
+
+def test_toxicity_forward_equals_plain_loops():
+    net = small_net(1)
+    words = ["Hello,", "w0rld", "a", "...", "stuupid!", "Σίσυφος"]
+    slots, grams, cuts = net.rows_of(words)
+    text, sig = [0, 4, 1, 3, 5, 2, 1], lambda v: 1 / (1 + np.exp(-v))
+    x = []
+    for w in text:
+        g = grams[cuts[w] : cuts[w + 1]]
+        a = np.exp(net.p["salience"][g])
+        x.append(np.concatenate([net.p["word"][slots[w]], sum((a[i] / a.sum() * net.p["gram"][g[i]] for i in range(len(g))), np.zeros(toxicity.CHAR_DIM))]))
+    h_all, hidden = np.zeros((len(text), 2 * toxicity.HIDDEN)), toxicity.HIDDEN
+    for half, d in enumerate("fb"):
+        h = np.zeros(hidden)
+        for t in range(len(text)) if d == "f" else reversed(range(len(text))):
+            g, w = x[t] @ net.p[f"u{d}"] + net.p[f"b{d}"], net.p[f"w{d}"]
+            r, z = sig(g[:hidden] + h @ w[:, :hidden]), sig(g[hidden : 2 * hidden] + h @ w[:, hidden : 2 * hidden])
+            n = np.tanh(g[2 * hidden :] + (r * h) @ w[:, 2 * hidden :])
+            h = z * h + (1 - z) * n
+            h_all[t, half * hidden : (half + 1) * hidden] = h
+    a = np.exp(h_all @ net.p["att"])
+    want = (a / a.sum()) @ h_all @ net.p["out"] + net.p["c"][0]
+    got, n = net.document_logits(pa.array([" ".join(words[w] for w in text)]))
+    assert n.tolist() == [1] and got[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_gradients_equal_finite_differences():
+    net = small_net(2)
+    parts = net.rows_of(["one", "two", "threefold", "!!", "fivestars"])
+    steps, mask = np.array([[0, 3], [2, 1], [4, 5], [1, 5]]), np.array([[1, 1], [1, 1], [1, 0], [1, 0]], bool)
+    y = np.array([1.0, 0.0])
+
+    def loss():
+        z = net.run(net.inputs(*parts).astype(np.float64), steps, mask).astype(np.float64)
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    g, rng = net.gradients(parts, steps, mask, y), np.random.default_rng(3)
+    for name, p in net.p.items():
+        for at in rng.choice(p.size, min(p.size, 12), replace=False):
+            cell, before = np.unravel_index(at, p.shape), p.flat[at]
+            p[cell] = before + 1e-2
+            up = loss()
+            p[cell] = before - 1e-2
+            down = loss()
+            p[cell] = before
+            assert g[name][cell] == pytest.approx((up - down) / 2e-2, abs=2e-3), name
+
+
+def test_toxicity_scores_tables(spark):
+    """Null ids, repeated rows, clashing columns, an empty table, and labels that contradict each other."""
+    texts = [t for t, _ in labelled(60, 5)]
+    d = docs(spark, [*ODD, *texts])
+    d = d.unionByName(d.limit(3)).unionByName(docs(spark, [None, "x"]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(len(ODD) + i, int(i % 3 == 0), 1) for i in range(60)] + [(len(ODD), 0, 1), (None, 1, 1), (len(ODD) + 1, None, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int, score int")
+    net = toxicity.train(d, labels)
+    got = toxicity.score_documents(d, net).collect()
+    assert len(got) == d.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b"") % 3 == 1) for r in got)
+    assert len({r.score for r in got if r.doc_id == 0}) == 1
+    assert toxicity.score_documents(d.limit(0), net).count() == 0
+    none = toxicity.train(d, labels.limit(0))
+    assert {r.score for r in toxicity.score_documents(d, none).collect()} == {0.5}
 
 
 def test_toxicity_holds_the_window_term_beyond_the_fit():
-    net = toxicity.fit([f"word{i} other " * (20 + i) for i in range(60)], [i % 2 for i in range(60)], {0: 30, 1: 30})
+    net = toxicity.fit([f"word{i} other " * (20 + i) for i in range(60)], [i % 2 for i in range(60)])
     net.curve = np.array([0.0, -1.0, 0.0])
     short, long, longer = net.scores(pa.array(["a", "word " * 5000, "word " * 20000]))
     assert short == 0.5 and 0 < long == longer and 1 / (1 + net.most_windows) == pytest.approx(long)
 
 
 def test_toxic_filter_keeps_columns(spark):
-    net = toxicity.fit([], [], {})
+    net = toxicity.fit([], [])
     d = docs(spark, ODD)
     assert toxicity.drop_toxic(d, net).columns == d.columns and toxicity.drop_toxic(d, net).count() == len(ODD)
     net.curve[2] = 50.0

@@ -33,8 +33,13 @@ def training_rows(rows: DataFrame, label: str, mod: int, held_out: int, per_labe
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_label: int, most_chars: int) -> tuple[pa.Table, dict]:
-    """The sample's (doc_id, text, label) in the order of doc_id. Texts longer than ``most_chars`` aren't used for fitting."""
-    chosen, sizes = training_rows(labels.select("doc_id", label).dropDuplicates(["doc_id"]), label, mod, held_out, per_label)
+    """The sample's (doc_id, text, label) in the order of doc_id. Texts longer than ``most_chars`` aren't used for fitting.
+
+    An id with several rows of one label counts once; an id with different labels is left out.
+    """
+    single = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("other"))
+    single = single.where(F.col(label) == F.col("other")).select("doc_id", label)
+    chosen, sizes = training_rows(single, label, mod, held_out, per_label)
     chosen = chosen.limit(2 * per_label * max(1, len(sizes)))  # a proven bound for the broadcast
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
     got = texts.join(F.broadcast(chosen), "doc_id").toArrow()
