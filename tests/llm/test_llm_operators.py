@@ -294,6 +294,7 @@ def test_toxic_filter_keeps_columns(spark):
     net = toxicity.fit([], [])
     d = docs(spark, ODD)
     assert toxicity.drop_toxic(d, net).columns == d.columns and toxicity.drop_toxic(d, net).count() == len(ODD)
+    assert toxicity.drop_toxic(d.withColumn("a.b", F.lit(1)), net).columns == [*d.columns, "a.b"]
     net.curve[2] = 50.0
     assert toxicity.drop_toxic(d, net).count() == 0
 
@@ -393,7 +394,9 @@ def near_texts():
     return texts + ["Same Text here", "same text HERE", "a", "A", None, ""]
 
 
-def test_jaccard_components_and_keep_one(spark, monkeypatch):
+@pytest.mark.parametrize("short", [1, 3, 24])
+def test_jaccard_components_and_keep_one(spark, monkeypatch, short):
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 3)  # so that lists are cut and blocks meet
     texts = near_texts()
     d = docs(spark, texts).repartition(3)
@@ -415,10 +418,78 @@ def test_bitmaps_never_hide_a_link():
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 30)), dtype=np.uint64)]))
         common = len(np.intersect1d(x, y))
         links = common > 0 and 100 * common >= 85 * (len(x) + len(y) - common)
-        a, b = (np.frombuffer(jaccard_join.parity_bitmap(v), np.uint64) for v in (x, y))
+        a, b = jaccard_join._bitmaps([jaccard_join.parity_bitmap(v) for v in (x, y)])
         assert not links or jaccard_join._may_link(a, b, len(x), len(y), 85)
 
 
+def test_bitmaps_of_large_sets_reject():
+    rng = np.random.default_rng(9)
+    for n in (300, 2000, 6000, 30000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n // 2, dtype=np.uint64)]))  # a third in common
+        a, b = jaccard_join._bitmaps([jaccard_join.parity_bitmap(v) for v in (x, y)])
+        assert not jaccard_join._may_link(a, b, len(x), len(y), 85)
+
+
+def test_group_of_near_copies_leaves_tasks_in_few_rows(spark, monkeypatch):
+    """400 copies of one base, each with some words of its own, so that similarities lie around the threshold."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(300), 2 + i % 9):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    rows = {}
+
+    def counted(df, tag, real=jaccard_join.stash):
+        out = real(df, tag)
+        rows[tag] = max(rows.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stash", counted)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 100_000)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs(spark, texts).repartition(4)).collect()}
+    want = brute(texts, 4, 85)
+    assert [got[i] for i in range(400)] == [c for _, c in want] and 1 < len({c for _, c in want}) < 400
+    assert rows["far"] <= 4 * 400 and rows["partnered"] <= 4 * rows["spanning"] and rows["pivot-pairs"] < 4000  # all pairs are 79800
+
+
+def test_jaccard_of_long_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 60_000)
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(5000)]
+    texts = []
+    for share in (0.0, 0.01, 0.01, 0.018, 0.02, 0.021, 0.03, 0.04, 0.06, 0.2):
+        texts.append(" ".join(word() if rng.random() < share else w for w in base))
+    texts += [" ".join(base[: int(5000 * cut)]) for cut in (0.97, 0.9, 0.86, 0.84, 0.7)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 4, 85)
+
+
+def test_jaccard_rows_of_one_id(spark):
+    """Rows that share an id are one document: its texts' classes are one component."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    a, b, c = (" ".join(word() for _ in range(60)) for _ in range(3))
+    table = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b), (4, c), (4, c), (5, c + " more")] + [(6, None)] * 2, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(table).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+
+
+def test_keep_one_with_odd_columns(spark):
+    d = spark.createDataFrame([(1, "b", 1, 2), (1, "a", 3, 4), (2, "a b", 5, 6), (None, "x", 7, 8), (None, "x", 7, 8)], "doc_id long, text string, `a.b` int, key int")
+    found = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, None), (None, None)], "doc_id long, component_id long")
+    kept = jaccard_join.keep_one(d, found)
+    assert kept.columns == d.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "a", 3, 4), (None, "x", 7, 8), (None, "x", 7, 8)], key=repr)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 

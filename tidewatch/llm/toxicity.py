@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import crc_mod_py, map_arrow, read, slices
+from .common import crc_mod_py, map_arrow, map_rows, read, slices
 from .quality_net import Adam, prior_shift
 from .sampling import labelled_texts
 from .tokens import ascii_words
@@ -376,11 +376,11 @@ def score_documents(docs: DataFrame, net: ToxicNet, reject_at: float = REJECT_AT
 def drop_toxic(docs: DataFrame, net: ToxicNet, reject_at: float = REJECT_AT) -> DataFrame:
     """The rows of ``docs`` that score below ``reject_at``, with all their columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(iter([batch]), "text", 4 << 20):
             yield part.filter(pa.array(net.scores(part.column("text")) < reject_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
