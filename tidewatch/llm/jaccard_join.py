@@ -53,9 +53,13 @@ SLICE = 4 << 20
 LEAST_BITS, MOST_BITS = 512, 1 << 14
 SHORT_LIST = 24
 LIST_BLOCK, BLOCK_BYTES = 2048, 16 << 20  # rows of a list and bytes of their sets that make a block
+BROADCAST_ROWS = 1 << 18  # 24 bytes each
 AT_ONCE = 1 << 21  # words compared at once
 
 
+SCANNED = ["doc_id", "n", "fp1", "fp2", "token", "c"]
+
+
 class Shingler:
     def __init__(self, k: int):
         self.k = k
@@ -131,35 +135,33 @@ def _may_link(sig_x, sig_y, n_x, n_y, num: int) -> np.ndarray:
     return near
 
 
-def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2): the size and a 128-bit fingerprint of each row's set."""
+def scanned(docs: DataFrame, k: int, num: int) -> DataFrame:
+    """Two kinds of rows from one pass over the texts: (doc_id, n, fp1, fp2), the size and 128-bit fingerprint of each row's set,
+    and where ``c`` is not null, (token, c): how many sets of a part hold a token in what can become prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for part in slices(batches, "text", SLICE):
             sets = shingler.sets(part.column("text"))
             fp = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
-            columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp1", "fp2"])
+            none = pa.nulls(len(sets), pa.int64())
+            columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), none, none]
+            yield pa.RecordBatch.from_arrays(columns, names=SCANNED)
+            found = [x[: _window(len(x), num)] for x in sets if len(x)]
+            if found:
+                token, c = np.unique(np.concatenate(found), return_counts=True)
+                none = pa.nulls(len(token), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(c.astype(np.int64))], names=SCANNED)
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, fp1 long, fp2 long")
+    return map_arrow(docs.select("doc_id", "text"), run, ", ".join(f"{c} long" for c in SCANNED))
 
 
-def token_levels(docs: DataFrame, k: int, num: int) -> np.ndarray:
+def token_levels(counts: DataFrame) -> np.ndarray:
     """The order's table: for each slot of a token's low bits, the logarithm of the largest count of a token there, or 0.
 
     The tokens of the most frequent levels are entered, as many levels as fill a quarter of the slots at most.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
-        for part in slices(batches, "text", SLICE):
-            found = [x[: _window(len(x), num)] for x in shingler.sets(part.column("text")) if len(x)]
-            if found:
-                token, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "c"])
-
-    counted = map_arrow(docs.select("doc_id", "text"), run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counted = counts.groupBy("token").agg(F.sum("c").alias("c"))
     level = F.least(F.lit(15), F.floor(F.log2("c") + 1e-9)).cast("int")
     frequent = stash(counted.where(F.col("c") >= 1 << LEAST_LEVEL).select("token", level.alias("level")), "levels")
     sizes = {r["level"]: r["count"] for r in frequent.groupBy("level").count().collect()}  # at most 13 rows
@@ -294,7 +296,9 @@ def cells(spanning: DataFrame, signatures: DataFrame, num: int) -> DataFrame:
     # each class with the number of blocks of its neighbours
     near = blocks.select("token", F.explode(F.array(*[F.struct((F.col("size") - d).alias("size"), F.lit(d).alias("d"), F.col("k").alias("k")) for d in (-1, 0, 1)])).alias("b")).select("token", "b.*")
     near = near.groupBy("token", "size").agg(*[F.max(F.when(F.col("d") == d, F.col("k"))).alias(name) for d, name in ((0, "k"), (-1, "below"), (1, "above"))])
-    rows = rows.join(near.where(F.col("k").isNotNull()), ["token", "size"]).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+    near = stash(near.where(F.col("k").isNotNull()), "blocks")
+    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near  # a list may hold most rows: don't deal them by it
+    rows = rows.join(near, ["token", "size"]).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     upto = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
     mine = F.col("mine")
     cell = lambda low, i, nxt, j, side: F.struct(low.alias("low"), i.alias("i"), F.lit(nxt).alias("next"), j.alias("j"), side.alias("side"))
@@ -495,12 +499,14 @@ def long_links(texts: DataFrame, found: DataFrame, spanning: DataFrame, signatur
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); similarity num/100 or more links."""
     docs = docs.select("doc_id", "text")
-    sets = stash(document_sets(docs, k), "sets")
+    scan = stash(scanned(docs, k, num), "scan")
+    sets = scan.where(F.col("c").isNull()).select("doc_id", "n", "fp1", "fp2")
+    levels = token_levels(scan.where(F.col("c").isNotNull()).select("token", "c"))
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stash(usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
     several = classes.where(F.col("c") > 1)
     member = stash(usable.join(several, ["fp1", "fp2"]).where(F.col("doc_id") != F.col("rep")).select("doc_id", "fp1", "rep").distinct(), "members")
-    prefix = stash(prefixes(docs, token_levels(docs, k, num), key_filter(several, "fp1"), k, num), "prefixes")
+    prefix = stash(prefixes(docs, levels, key_filter(several, "fp1"), k, num), "prefixes")
     copies = prefix.where("maybe_copy").join(member.select(F.col("doc_id").alias("doc"), F.col("fp1").alias("fp")), ["doc", "fp"], "left_anti").dropDuplicates(["doc", "fp"])
     single = prefix.where("not maybe_copy").unionByName(copies)
     post = stash(postings(single), "postings")
