@@ -537,23 +537,64 @@ def test_ascii_words():
 # --- 6: search ------------------------------------------------------------------------------------------------------
 
 
-def test_cover_tree_covers_and_search_is_exact():
+def search_all(points, ids, every=20, k=5, kind=np.float32):
+    """The k best of every 20th point by the dual-tree search, and the share of scores computed."""
+    data, asked = cover_tree.CoverTree(points, ids), cover_tree.CoverTree(points[::every], ids[::every])
+    data.points, asked.points = data.points.astype(kind), asked.points.astype(kind)
+    best = cover_tree.TopK(len(asked.ids), k)
+    cover_tree.seed(asked, data.points, data.ids, best)
+    done = cover_tree.dual_search(asked, data, best)
+    return asked, best, done / (len(asked.ids) * len(ids))
+
+
+def assert_best(points, ids, asked, best, k=5):
+    whole = points.astype(object)
+    for row, q in enumerate(asked.ids):
+        s = whole @ asked.points[row].astype(object)
+        want = sorted((-s[i], ids[i]) for i in range(len(points)) if ids[i] != q)[:k]
+        assert [(-a, b) for a, b in zip(best.score[row].tolist(), best.id[row].tolist(), strict=True)] == want
+
+
+def clustered(rng, n=1400, width=8):
+    return np.concatenate([rng.integers(-60, 60, (n // 2, width)) + c for c in ([0] * width, [400] * width)] + [np.tile([5] * width, (120, 1))]).astype(float)
+
+
+def test_cover_tree_covers_separates_and_nests():
     rng = np.random.default_rng(3)
-    points = np.concatenate([rng.integers(-60, 60, (700, 8)) + c for c in ([0] * 8, [90] * 8)] + [np.tile([5] * 8, (120, 1))]).astype(float)
+    points = np.concatenate([clustered(rng), rng.integers(-3, 3, (900, 8)) + rng.integers(-200, 200, (30, 8)).repeat(30, axis=0)])
     ids = rng.permutation(len(points)).astype(np.int64)
-    data = cover_tree.CoverTree(points, ids)
-    below = data.below()
-    assert sorted(below[data.root].tolist()) == list(range(len(points)))
-    for node, own in enumerate(below):
-        assert np.sqrt(((points[own] - points[data.centre[node]]) ** 2).sum(axis=1)).max() <= data.radius[node] * (1 + 1e-9) + 1e-9
-    asked = cover_tree.CoverTree(points[::20], ids[::20])
-    best = cover_tree.TopK(len(asked.ids), 5)
-    done = cover_tree.dual_search(asked, asked.below(), data, best)
-    for row, q in enumerate(asked.ids):
-        s = points @ asked.points[row]
-        want = sorted((-s[i], ids[i]) for i in range(len(points)) if ids[i] != q)[:5]
-        assert [(-a, b) for a, b in zip(best.score[row], best.id[row], strict=True)] == want
-    assert done < len(points) * len(asked.ids)  # some pairs were pruned
+    tree = cover_tree.CoverTree(points, ids)
+    assert sorted(tree.ids.tolist()) == list(range(len(points))) and tree.low[0] == 0 and tree.high[0] == len(points)
+    far = lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=-1))
+    split = 0
+    for node, kids in enumerate(tree.kids):
+        assert far(tree.points[tree.low[node] : tree.high[node]], tree.centres[node]).max() <= tree.radius[node] * (1 + 1e-9) + 1e-9  # covers
+        if not len(kids):
+            continue
+        assert np.array_equal(np.sort(tree.low[kids])[1:], np.sort(tree.high[kids])[:-1])  # its kids share its points out
+        balls = [x for x in kids if np.isfinite(tree.scale[x]) and tree.scale[x] < min(tree.scale[node], tree.radius[node])]
+        split += len(balls)
+        for x in balls:
+            assert tree.radius[x] <= tree.scale[x] + 1e-9 <= min(tree.scale[node], tree.radius[node]) / cover_tree.BASE + 1e-6
+            assert all(far(tree.centres[x], tree.centres[y]) > tree.scale[x] for y in balls if x != y)  # separation
+        assert any((tree.centres[x] == tree.centres[node]).all() for x in kids)  # nesting
+    assert split > 30 and max(tree.high[tree.leaf] - tree.low[tree.leaf]) < 700
+
+
+def test_dual_search_is_exact_and_prunes():
+    rng = np.random.default_rng(3)
+    tight = (rng.integers(-4, 5, (40, 16)).repeat(60, axis=0) * 100 + rng.integers(-5, 6, (2400, 16))).astype(float)  # many small clusters
+    for points, most in ((clustered(rng), 0.8), (tight, 0.3), (rng.integers(-9, 9, (700, 3)).astype(float), 0.9), (rng.normal(0, 40, (900, 64)).round(), 1.0), (np.zeros((90, 4)), 1.0), (np.ones((3, 2)), 1.0)):
+        ids = rng.permutation(len(points)).astype(np.int64)
+        if len(points) == 700:
+            ids[::7] = ids[0]  # repeated ids
+        asked, best, share = search_all(points, ids)
+        assert share <= most
+        if len(points) > 5:
+            assert_best(points, ids, asked, best)
+    huge = rng.integers(-(2**28), 2**28, (300, 4)).astype(float)
+    ids = np.arange(300)
+    assert_best(huge, ids, *search_all(huge, ids, kind=np.int64)[:2])
 
 
 def test_top_k_odd_rows(spark):
@@ -562,6 +603,23 @@ def test_top_k_odd_rows(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in cover_tree.top_k(df).collect())
     assert got == [(0, 1, 1, 128 * 128 + 64 * 64), (0, 2, 50, 128 * 128 + 64 * 64), (50, 1, 0, 128 * 128 + 64 * 64), (50, 2, 1, 128 * 128 + 64 * 64)]
     assert cover_tree.top_k(df.limit(0)).count() == 0
+    assert cover_tree.top_k(df.where("vec_id = 1")).count() == 0  # no queries
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Many small blocks of queries and candidates, vectors of several lengths, a query's id on many rows."""
+    monkeypatch.setattr(cover_tree, "HELD_BYTES", 20_000)
+    rng = np.random.default_rng(17)
+    rows = [(int(i if i % 3 else 50 * (i % 4)), rng.integers(-128, 128, 6 if i % 5 else 3).astype(float) / 256) for i in range(600)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cover_tree.top_k(df.repartition(3), query_block=16, data_block=64).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    for q, found in got.items():
+        own = [np.floor(256 * v) for i, v in rows if i == q]
+        want = sorted((-int(v @ np.floor(256 * w)), i) for v in own for i, w in rows if i != q and len(w) == len(v))[:5]
+        assert [(s, i) for _, s, i in sorted(found)] == want
+    assert set(got) == {i for i, _ in rows if i % 50 == 0}
 
 
 # --- 10: lines ------------------------------------------------------------------------------------------------------

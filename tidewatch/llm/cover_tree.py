@@ -1,18 +1,27 @@
 """Operator 6: exact top-k by inner product with a dual-tree search over cover trees.
 
-Each task builds a cover tree over every block of its candidates and walks it together with a cover tree of the queries. For
-a query node (centre q, radius a) and a data node (centre x, radius b) no pair below scores more than
-q.x + a|x| + b|q| + ab; the pair is dropped if that lies below the worst kth score of the query node's members. Children
-are visited by falling bound, so good scores come early and prune the rest; a kth score found in one block of a task
-also prunes its later blocks. Scores are exact integers; ties go to the smaller id.
+Each task holds a block of its candidates as a cover tree and walks it together with a cover tree of a block of queries. A node's children
+are centred on points more than a scale apart and hold what lies within that scale, which shrinks by ``BASE`` from level to
+level; the node's own centre is the first of them. Points that no ball of ``LEAST_BALL`` points holds stay together in a
+leaf of their parent, and up to ``LEAF`` points are not split further, so a leaf holds dozens of points.
 
-Queries are a stated set that meets all rows in blocks: they are cut into blocks of ``QUERY_BLOCK``, written to the shared folder,
-and each candidate partition reads one block after another, so neither side is held whole. Every task returns at most k rows
-a query, pre-merged, and a final aggregation keeps the k best of each query.
+For a query node (centre q, radius a) and a data node (centre x, radius b) no pair below scores more than
+q.x + a|x| + b|q| + ab, nor more than the product of the largest norms; the pair is dropped if that lies below the worst kth score of the query node's
+members, which are a run of rows. A query node carries the data nodes that are left for it; at a query leaf the
+data leaves are taken by falling bound, thousands of points in one matrix product, and what the kth scores found rule out is dropped
+before the next product. Before the walk the kth best score of each query over a spread of candidates is a
+first bound. Scores are exact integers; ties go to the smaller id.
+
+Where vectors are spread evenly over many dimensions (as on random directions) no metric bound can rule anything out; then the
+search is a blocked matrix product, whose work grows with queries times candidates.
+
+Queries are a stated set that meets all rows in blocks: they are written to the shared folder in blocks of about ``QUERY_BLOCK``, and tasks read
+one block after another from there for every ``HELD_BYTES`` of candidates, so neither side is held whole by anyone. A
+task returns at most k rows for each query and held block, and an aggregation keeps the k best of each query.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate; vectors
 of another length than the query's don't meet it; repeated ids are candidates of their own (an id is never its own candidate);
-fewer than k candidates give all of them; an empty table gives no rows; other columns are not read.
+fewer than k candidates give all of them; an empty table gives no rows; other columns are not read. Scores are exact while they fit 64 bits.
 """
 
 from __future__ import annotations
@@ -21,77 +30,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, read, stash
+from .common import fresh_path, map_arrow, read, shared_store
 
 K = 5
 QUERY_EVERY = 50
 QUERY_BLOCK = 8192
 DATA_BLOCK = 16384
-LEAF = 48
+HELD_BYTES = 64 << 20
+BASE = 1.3
+LEAF, LEAST_BALL, MISSES = 48, 16, 32
+SEED = 512  # candidates whose scores are the first bounds
+PRODUCT = 1 << 22  # scores computed at once
 SCHEMA = "query_id long, vec_id long, score long"
+NONE = np.iinfo(np.int64).min
+LAST = np.iinfo(np.int64).max
 
 
 class CoverTree:
-    """Nodes of a cover tree over integer vectors: centre, covering radius, children, and at the leaves a run of points."""
+    """A cover tree over integer vectors. The points of node i are rows ``low[i]`` to ``high[i]`` of ``points`` and ``ids``."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray):
-        self.points, self.ids = points, ids
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.children: list[list[int]] = []
-        self.members: list[np.ndarray] = []
-        self.root = self._build(np.arange(len(points)), 0) if len(points) else -1
-        self.norm = np.sqrt((points[self.centre].astype(np.float64) ** 2).sum(axis=1)) if self.centre else np.zeros(0)
-
-    def _node(self, centre: int, radius: float, members: np.ndarray) -> int:
-        self.centre.append(centre)
-        self.radius.append(radius)
-        self.children.append([])
-        self.members.append(members)
-        return len(self.centre) - 1
-
-    def _build(self, own: np.ndarray, centre: int) -> int:
-        """Iterative: each node's points are covered by children of half its radius, the node's own centre first."""
-        todo = [(own, int(own[centre]), -1)]
-        root = -1
-        while todo:
-            own, c, parent = todo.pop()
+        self._points, self._square = points, np.einsum("ij,ij->i", points, points)
+        centre: list[int] = []
+        radius, scale, low, high = [], [], [], []
+        kids: list[list[int]] = []
+        order: list[np.ndarray] = []
+        placed = 0
+        todo = [(np.arange(len(points)), 0, np.inf, -1, False)] if len(points) else []
+        while todo:  # the last pushed subtree is finished first, so each node's points are a run
+            own, c, most, parent, loose = todo.pop()
             d = self._distance(own, c)
-            radius = float(d.max())
-            leaf = len(own) <= LEAF or radius == 0.0
-            node = self._node(c, radius, own if leaf else own[:0])
-            if parent < 0:
-                root = node
-            else:
-                self.children[parent].append(node)
-            if leaf:
+            node = len(centre)
+            centre.append(c)
+            radius.append(float(d.max()))
+            scale.append(most)
+            low.append(placed)
+            high.append(placed + len(own))
+            kids.append([])
+            if parent >= 0:
+                kids[parent].append(node)
+            balls, rest = ([], own) if loose or len(own) <= LEAF or radius[-1] == 0.0 else self._balls(own, c, d, min(most, radius[-1]) / BASE)
+            if not balls:
+                order.append(own)
+                placed += len(own)
                 continue
-            half, rest, dist = radius / 2, own, d
-            first = c
-            while len(rest):
-                near = dist <= half
-                todo.append((rest[near], first, node))
-                rest = rest[~near]
-                if len(rest):
-                    first = int(rest[0])
-                    dist = self._distance(rest, first)
-        return root
+            if len(rest):
+                todo.append((rest, c, most, node, True))
+            todo += [(ball, first, min(most, radius[node]) / BASE, node, False) for first, ball in reversed(balls)]
+        order = np.concatenate(order) if order else np.zeros(0, np.int64)
+        self.points, self.ids = points[order], ids[order]
+        self.centres = points[centre] if centre else points[:0]
+        self.norm = np.sqrt(self._square[centre]) if centre else np.zeros(0)
+        norms = np.sqrt(self._square[order])
+        self.radius, self.scale, self.low, self.high = (np.array(x) for x in (radius, scale, low, high))
+        if self._square.max(initial=0) >= 1 << 53:  # rounded squares: no ball may be too small
+            self.radius = self.radius + 1e-7 * float(norms.max())
+        self.most_norm = np.array([norms[a:b].max() for a, b in zip(low, high, strict=True)])
+        self.kids = [np.array(k, np.int64) for k in kids]
+        self.leaf = np.array([not k for k in kids], bool)
+        del self._points, self._square
 
     def _distance(self, own: np.ndarray, c: int) -> np.ndarray:
-        diff = self.points[own] - self.points[c]
-        return np.sqrt(np.einsum("ij,ij->i", diff, diff))
-
-    def below(self) -> list[np.ndarray]:
-        """All points under each node."""
-        out: list[np.ndarray] = [m for m in self.members]
-        for node in range(len(self.centre) - 1, -1, -1):
-            if self.children[node]:
-                out[node] = np.concatenate([out[c] for c in self.children[node]])
-        return out
+        """Distances of points to point c; exact integers below the root."""
+        squares = self._square[own] + self._square[c] - 2 * (self._points[own] @ self._points[c])
+        return np.sqrt(np.maximum(squares, 0))
+
+    def _balls(self, own: np.ndarray, c: int, d: np.ndarray, scale: float) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+        """Balls of ``scale`` whose centres are more than that apart, first that of c, and the points left over."""
+        balls, left, rest, dist, first, misses = [], [], own, d, c, 0
+        while len(rest):
+            near = dist <= scale
+            if near.sum() >= LEAST_BALL:
+                balls.append((first, rest[near]))
+                misses = 0
+            else:
+                left.append(rest[near])
+                misses += 1
+            rest = rest[~near]
+            if misses == MISSES or not len(rest):
+                break
+            first = int(rest[0])
+            dist = self._distance(rest, first)
+        return balls, np.concatenate([*left, rest])
 
 
 class TopK:
@@ -99,57 +124,96 @@ class TopK:
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.score = np.full((n, k), -np.inf)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
-
-    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: (rows, candidates), -inf where none; ids: of the candidates."""
-        keep = min(self.k, scores.shape[1])
-        if scores.shape[1] > 4 * self.k:
-            # all that can matter: those at or above each row's kth score (ties included)
-            level = np.maximum(-np.partition(-scores, keep - 1, axis=1)[:, keep - 1], self.score[rows, -1])
-            some = (scores >= level[:, None]).any(axis=0)
-            if not some.any():
-                return
-            scores, ids = scores[:, some], ids[some]
-        s = np.hstack([self.score[rows], scores])
-        i = np.hstack([self.id[rows], np.broadcast_to(ids, scores.shape)])
-        i = np.where(np.isneginf(s), np.iinfo(np.int64).max, i)
-        order = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(s, order, axis=1)
-        self.id[rows] = np.take_along_axis(i, order, axis=1)
-
-
-def dual_search(queries: CoverTree, below: list[np.ndarray], data: CoverTree, best: TopK) -> int:
+        self.score = np.full((n, k), NONE)
+        self.id = np.full((n, k), LAST)
+        self.floor = np.full(n, -np.inf)  # a score that the kth best can't be below
+
+    def least(self, low: int, high: int) -> np.ndarray:
+        kth = self.score[low:high, -1]
+        level = kth.astype(np.float64)
+        level = np.where(np.abs(level) < 1 << 53, level, level - 1e-15 * np.abs(level))  # never rounded up
+        return np.maximum(np.where(kth == NONE, -np.inf, level), self.floor[low:high])
+
+    def offer(self, low: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: of the queries from row ``low`` on with candidates ``ids``; -inf where none."""
+        n, c = scores.shape
+        level = self.least(low, low + n)
+        if c > self.k:
+            level = np.maximum(level, np.partition(scores, c - self.k, axis=1)[:, c - self.k])
+        row, col = np.nonzero(scores >= np.maximum(level, np.finfo(np.float32).min)[:, None])
+        if not len(row):
+            return
+        rows = np.unique(row)
+        old = self.id[low + rows] != LAST
+        row = np.concatenate([row, np.repeat(rows, old.sum(axis=1))])
+        s = np.concatenate([scores[row[: len(col)], col].astype(np.int64), self.score[low + rows][old]])
+        i = np.concatenate([ids[col], self.id[low + rows][old]])
+        order = np.lexsort((i, -s, row))
+        row, s, i = row[order], s[order], i[order]
+        start = np.flatnonzero(np.diff(row, prepend=-1))
+        place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+        keep = place < self.k
+        self.score[low + row[keep], place[keep]], self.id[low + row[keep], place[keep]] = s[keep], i[keep]
+
+
+def _scores(queries: CoverTree, low: int, high: int, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    scores = queries.points[low:high] @ points.T
+    if scores.dtype == np.int64:
+        return np.where(queries.ids[low:high, None] == ids, -np.inf, scores.astype(object))
+    scores[queries.ids[low:high, None] == ids] = -np.inf
+    return scores
+
+
+def seed(queries: CoverTree, points: np.ndarray, ids: np.ndarray, best: TopK) -> None:
+    """Raise the first bounds to the kth best score over a spread of candidates. They are offered again later."""
+    some = np.unique(np.linspace(0, len(ids) - 1, min(len(ids), SEED)).astype(np.int64))
+    if len(some) > best.k:
+        scores = _scores(queries, 0, len(queries.ids), points[some], ids[some]).astype(np.float64)
+        floor = np.partition(scores, len(some) - best.k, axis=1)[:, len(some) - best.k]
+        best.floor = np.maximum(best.floor, floor - 1e-15 * np.abs(floor))
+
+
+def dual_search(queries: CoverTree, data: CoverTree, best: TopK) -> int:
     """Offer all candidates that can matter; returns how many scores were computed."""
-    if queries.root < 0 or data.root < 0:
+    if not len(queries.leaf) or not len(data.leaf):
         return 0
     done = 0
-    todo = [(queries.root, data.root, np.inf)]
-    cq, cx = queries.points[queries.centre], data.points[data.centre]
-    rq, rx = np.array(queries.radius), np.array(data.radius)
+
+    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
+        a, b = queries.radius[q], data.radius[nodes]
+        ball = data.centres[nodes].astype(np.float64) @ queries.centres[q].astype(np.float64) + a * data.norm[nodes] + b * queries.norm[q] + a * b
+        norms = queries.most_norm[q] * data.most_norm[nodes]
+        return np.minimum(ball, norms) + 1e-12 * norms + 1e-6
+
+    todo = [(0, np.zeros(1, np.int64))]
     while todo:
-        q, x, bound = todo.pop()
-        if bound < best.score[below[q], -1].min():
+        q, nodes = todo.pop()
+        low, high = int(queries.low[q]), int(queries.high[q])
+        least = best.least(low, high).min()
+        while True:
+            b = bounds(q, nodes)
+            nodes, b = nodes[b >= least], b[b >= least]
+            wide = ~data.leaf[nodes] & (queries.leaf[q] | (data.radius[nodes] >= queries.radius[q]))
+            if not wide.any():
+                break
+            nodes = np.concatenate([nodes[~wide], *(data.kids[x] for x in nodes[wide])])
+        if not len(nodes):
             continue
-        q_kids, x_kids = queries.children[q], data.children[x]
-        if not q_kids and not x_kids:
-            rows, cols = queries.members[q], data.members[x]
-            scores = queries.points[rows] @ data.points[cols].T
-            done += scores.size
-            scores = np.where(queries.ids[rows][:, None] == data.ids[cols], -np.inf, scores)
-            best.offer(rows, scores, data.ids[cols])
+        if not queries.leaf[q]:
+            todo += [(int(kid), nodes) for kid in queries.kids[q]]
             continue
-        if x_kids and (not q_kids or rx[x] >= rq[q]):
-            kids = np.array(x_kids)
-            b = cx[kids] @ cq[q] + rq[q] * data.norm[kids] + rx[kids] * queries.norm[q] + rq[q] * rx[kids]
-            order = np.argsort(b)  # the best bound is popped first
-            todo += [(q, int(k), float(v) * (1 + 1e-12) + 1e-6) for k, v in zip(kids[order], b[order], strict=True)]
-        else:
-            kids = np.array(q_kids)
-            b = cq[kids] @ cx[x] + rq[kids] * data.norm[x] + rx[x] * queries.norm[kids] + rq[kids] * rx[x]
-            order = np.argsort(b)
-            todo += [(int(k), x, float(v) * (1 + 1e-12) + 1e-6) for k, v in zip(kids[order], b[order], strict=True)]
+        order = np.argsort(-b, kind="stable")
+        nodes, b, at, room = nodes[order], b[order], 0, 2048
+        while at < len(nodes) and b[at] >= best.least(low, high).min():
+            size = np.cumsum(data.high[nodes[at:]] - data.low[nodes[at:]])
+            some = nodes[at : at + max(1, int(np.searchsorted(size, room, side="right")))]
+            at += len(some)
+            room = max(2048, min(4 * room, PRODUCT // (high - low)))
+            rows = np.concatenate([np.arange(data.low[x], data.high[x]) for x in np.sort(some)])
+            for c in range(0, len(rows), max(1, PRODUCT // (high - low))):
+                part = rows[c : c + max(1, PRODUCT // (high - low))]
+                best.offer(low, _scores(queries, low, high, data.points[part], data.ids[part]), data.ids[part])
+            done += len(rows) * (high - low)
     return done
 
 
@@ -162,73 +226,100 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy().astype(np.float64).reshape(-1, width)
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
+def _exact(points: np.ndarray, others: float) -> np.ndarray:
+    """The points in the fastest type that holds their products with vectors of norm ``others`` exactly."""
+    most = float(np.sqrt((points.astype(np.float64) ** 2).sum(axis=1).max(initial=0))) * max(others, 1.0)
+    return points.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64)
+
+
+def _largest(points: np.ndarray) -> float:
+    return float(np.sqrt((points.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+
+
+def _by_width(batch, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Width, ids and vectors of the rows of a batch (vec_id, v), ``most`` rows at a time."""
+    if not batch.num_rows:
+        return
+    lists, ids = batch.column("v"), batch.column("vec_id").to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy())
+    for w in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == w)
+        for a in range(0, len(own), most):
+            yield w, ids[own[a : a + most]], _matrix(lists.take(pa.array(own[a : a + most])), w)
 
 
 def top_k(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``vectors`` for each row whose id is divisible by ``query_every``."""
-    spark = vectors.sparkSession
     data = quantised(vectors)
     asked = data.where(F.pmod("vec_id", F.lit(query_every)) == 0)
-    # blocks of queries of one length: numbered by a hash of the id, so that no sort or count of one task is needed
     n = asked.count()
     blocks = max(1, -(-n // query_block))
-    asked = stash(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
-    found: DataFrame | None = None
-    for b in range(blocks):
-        part = asked.where(F.col("block") == b).select("vec_id", "v").toArrow()  # at most about query_block rows
-        one = _search_block(data, part, k, data_block)
-        found = one if found is None else found.unionByName(one)
+    folder = fresh_path(vectors.sparkSession, "queries")
+    # rows are dealt by their place, so that copies of one query spread too
+    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    asked.write.partitionBy("block").parquet(folder)
+    found = map_arrow(data, _searcher(folder, blocks if n else 0, k, data_block), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _search_block(data: DataFrame, asked: pa.Table, k: int, data_block: int) -> DataFrame:
-    ids_all = asked["vec_id"].to_numpy()
-    lists = asked["v"].combine_chunks() if asked.num_rows else None
-    widths = np.diff(lists.offsets.to_numpy()) if asked.num_rows else np.zeros(0, np.int64)
-    groups = {}
-    for w in np.unique(widths).tolist():
-        own = np.flatnonzero(widths == w)
-        groups[w] = (ids_all[own], _matrix(lists.take(pa.array(own)), w).astype(np.int32))
+def _query_block(folder: str, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Width, ids and vectors of a block of queries, read from the shared folder."""
+    from pyarrow import fs
+
+    store, top = shared_store(folder)
+    files = store.get_file_info(fs.FileSelector(f"{top}/block={block}", allow_not_found=True))
+    tables = [pq.ParquetFile(store.open_input_file(f.path)).read(columns=["vec_id", "v"]) for f in files if f.path.endswith(".parquet")]
+    if tables:
+        table = pa.concat_tables(tables).combine_chunks()
+        for batch in table.to_batches():
+            yield from _by_width(batch, batch.num_rows)
+
+
+def _searcher(folder: str, blocks: int, k: int, data_block: int):
+    def search(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        trees: dict[int, list[CoverTree]] = {}
+        for block in range(blocks):
+            for w, ids, points in _query_block(folder, block):
+                if w not in held:
+                    continue
+                if w not in trees:
+                    trees[w] = [CoverTree(p.astype(np.float64), i) for i, p in held[w]]
+                norm = max(_largest(t.points) for t in trees[w])
+                queries = CoverTree(points.astype(np.float64), ids)
+                kind = _exact(queries.points, norm).dtype
+                queries.points = queries.points.astype(kind)
+                best = TopK(len(ids), k)
+                first = trees[w][0]
+                seed(queries, first.points.astype(kind), first.ids, best)
+                for tree in trees[w]:
+                    tree.points = tree.points.astype(kind, copy=False)
+                    dual_search(queries, tree, best)
+                have = best.id != LAST
+                rows = np.repeat(queries.ids, have.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(best.id[have], pa.int64()), pa.array(best.score[have], pa.int64())], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, held = {}, {w: ([], [], 0) for w in groups}
-
-        def search(w: int) -> None:
-            ids, parts, _ = held[w]
-            held[w] = ([], [], 0)
-            if not ids:
-                return
-            if w not in trees:
-                tree = CoverTree(groups[w][1].astype(np.float64), groups[w][0])
-                trees[w] = (tree, tree.below(), TopK(len(groups[w][0]), k))
-            tree, below, best = trees[w]
-            dual_search(tree, below, CoverTree(np.concatenate(parts), np.concatenate(ids)), best)
-
-        for batch in batches:
-            lists = batch.column("v")
-            if not batch.num_rows:
-                continue
-            ids = batch.column("vec_id").to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            for w in groups:
-                own = np.flatnonzero(sizes == w)
-                for a in range(0, len(own), data_block):
-                    some = own[a : a + data_block]
-                    held[w][0].append(ids[some])
-                    held[w][1].append(_matrix(lists.take(pa.array(some)), w))
-                    held[w] = (held[w][0], held[w][1], held[w][2] + len(some))
-                    if held[w][2] >= data_block:
-                        search(w)
-        for w in groups:
-            search(w)
-        for tree, _, best in trees.values():
-            have = ~np.isneginf(best.score)
-            rows = np.repeat(tree.ids, have.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(best.id[have], pa.int64()), pa.array(best.score[have].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    return map_arrow(data.select("vec_id", "v"), run, SCHEMA)
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+        for batch in batches if blocks else ():
+            for w, ids, points in _by_width(batch, data_block):
+                own = held.setdefault(w, [])
+                if own and len(own[-1][0]) + len(ids) <= data_block:
+                    own[-1] = (np.concatenate([own[-1][0], ids]), np.concatenate([own[-1][1], points]))
+                else:
+                    own.append((ids, points))
+                size += points.nbytes
+            if size >= HELD_BYTES:
+                yield from search(held)
+                held, size = {}, 0
+        if held:
+            yield from search(held)
+
+    return run
 
 
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, map_arrow, read, slices, stash
+from .common import fresh_path, map_arrow, read, shared_store, slices, stash
 from .tokens import ENCODE_BYTES, chunk_encoder, public_vocabulary
 
 MAGIC = b"S8BTOK1\0"
@@ -150,15 +150,6 @@ class TokenFile:
         return np.concatenate(out)[a - first : b - first]
 
 
-def _store(path: str):
-    """The file system and inner path of a shared folder, as executors see it: a mounted folder, or a store pyarrow reads."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) as files below ``folder`` in ascending doc_id order; returns the manifest, a row a file."""
     spark = docs.sparkSession
@@ -166,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, encoder = TaskContext.get(), chunk_encoder(vocabulary)
-        store, top = _store(folder)
+        store, top = shared_store(folder)
         store.create_dir(top, recursive=True)
         part = context.partitionId()
         name, body = f"part-{part:06d}.s8b", f"{top}/.{part:06d}-{context.taskAttemptId()}"
@@ -219,7 +210,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     schema = T.StructType([*(T.StructField(x, T.LongType()) for x in ("doc_id", "start", "n_tokens", "ids_crc32"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _store(folder)
+        store, top = shared_store(folder)
         for batch in batches:
             for name, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 with store.open_input_file(f"{top}/{name}") as source:
