@@ -9,7 +9,7 @@ For a query node (centre q, radius a) and a data node (centre x, radius b) no pa
 q.x + a|x| + b|q| + ab, nor more than the product of the largest norms; the pair is dropped if that lies below the worst kth score of the query node's
 members, which are a run of rows. A query node carries the data nodes that are left for it; at a query leaf the
 data leaves are taken by falling bound, thousands of points in one matrix product, and what the kth scores found rule out is dropped
-before the next product. Before the walk the kth best score of each query over a spread of candidates is a
+before the next product; queries of a leaf that need different data leaves go on one by one. Before the walk the kth best score of each query over a spread of candidates is a
 first bound. Scores are exact integers; ties go to the smaller id.
 
 Where vectors are spread evenly over many dimensions (as on random directions) no metric bound can rule anything out; then the
@@ -44,6 +44,7 @@ DATA_BLOCK = 16384
 HELD_BYTES = 64 << 20
 BASE = 1.3
 LEAF, LEAST_BALL, MISSES = 48, 16, 32
+QUERY_LEAF, QUERY_BALL = 16, 4  # queries are fewer
 SEED = 512  # candidates whose scores are the first bounds
 PRODUCT = 1 << 22  # scores computed at once
 SCHEMA = "query_id long, vec_id long, score long"
@@ -54,7 +55,7 @@ LAST = np.iinfo(np.int64).max
 class CoverTree:
     """A cover tree over integer vectors. The points of node i are rows ``low[i]`` to ``high[i]`` of ``points`` and ``ids``."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF, ball: int = LEAST_BALL):
         self._points, self._square = points, np.einsum("ij,ij->i", points, points)
         centre: list[int] = []
         radius, scale, low, high = [], [], [], []
@@ -74,14 +75,14 @@ class CoverTree:
             kids.append([])
             if parent >= 0:
                 kids[parent].append(node)
-            balls, rest = ([], own) if loose or len(own) <= LEAF or radius[-1] == 0.0 else self._balls(own, c, d, min(most, radius[-1]) / BASE)
+            balls, rest = ([], own) if loose or len(own) <= leaf or radius[-1] == 0.0 else self._balls(own, c, d, min(most, radius[-1]) / BASE, ball)
             if not balls:
                 order.append(own)
                 placed += len(own)
                 continue
             if len(rest):
                 todo.append((rest, c, most, node, True))
-            todo += [(ball, first, min(most, radius[node]) / BASE, node, False) for first, ball in reversed(balls)]
+            todo += [(inside, first, min(most, radius[node]) / BASE, node, False) for first, inside in reversed(balls)]
         order = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.points, self.ids = points[order], ids[order]
         self.centres = points[centre] if centre else points[:0]
@@ -100,12 +101,12 @@ class CoverTree:
         squares = self._square[own] + self._square[c] - 2 * (self._points[own] @ self._points[c])
         return np.sqrt(np.maximum(squares, 0))
 
-    def _balls(self, own: np.ndarray, c: int, d: np.ndarray, scale: float) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    def _balls(self, own: np.ndarray, c: int, d: np.ndarray, scale: float, least: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
         """Balls of ``scale`` whose centres are more than that apart, first that of c, and the points left over."""
         balls, left, rest, dist, first, misses = [], [], own, d, c, 0
         while len(rest):
             near = dist <= scale
-            if near.sum() >= LEAST_BALL:
+            if near.sum() >= least:
                 balls.append((first, rest[near]))
                 misses = 0
             else:
@@ -173,6 +174,33 @@ def seed(queries: CoverTree, points: np.ndarray, ids: np.ndarray, best: TopK) ->
         best.floor = np.maximum(best.floor, floor - 1e-15 * np.abs(floor))
 
 
+def _at_leaf(queries: CoverTree, low: int, high: int, data: CoverTree, nodes: np.ndarray, best: TopK) -> int:
+    """Offer the points of data leaves to a run of queries, by falling bound; queries that need different leaves go one by one."""
+    points = queries.points[low:high].astype(np.float64)
+    own = np.sqrt((points**2).sum(axis=1))
+    norms = own[:, None] * data.most_norm[nodes]
+    b = np.minimum(points @ data.centres[nodes].T.astype(np.float64) + data.radius[nodes] * own[:, None], norms) + 1e-12 * norms + 1e-6
+    need = b >= best.least(low, high)[:, None]
+    if high - low > 1 and 2 * need.sum() < need.size:
+        return sum(_at_leaf(queries, low + r, low + r + 1, data, nodes[need[r]], best) for r in range(high - low) if need[r].any())
+    order = np.argsort(-b.max(axis=0), kind="stable")
+    nodes, b, at, room, done = nodes[order], b[:, order], 0, 2048, 0
+    most = max(1, PRODUCT // (high - low))
+    while at < len(nodes):
+        left = at + np.flatnonzero((b[:, at:] >= best.least(low, high)[:, None]).any(axis=0))
+        if not len(left):
+            break
+        size = np.cumsum(data.high[nodes[left]] - data.low[nodes[left]])
+        some = left[: max(1, int(np.searchsorted(size, room, side="right")))]
+        at, room = int(some[-1]) + 1, max(2048, min(4 * room, most))
+        rows = np.concatenate([np.arange(data.low[x], data.high[x]) for x in np.sort(nodes[some])])
+        for c in range(0, len(rows), most):
+            part = rows[c : c + most]
+            best.offer(low, _scores(queries, low, high, data.points[part], data.ids[part]), data.ids[part])
+        done += len(rows) * (high - low)
+    return done
+
+
 def dual_search(queries: CoverTree, data: CoverTree, best: TopK) -> int:
     """Offer all candidates that can matter; returns how many scores were computed."""
     if not len(queries.leaf) or not len(data.leaf):
@@ -202,18 +230,7 @@ def dual_search(queries: CoverTree, data: CoverTree, best: TopK) -> int:
         if not queries.leaf[q]:
             todo += [(int(kid), nodes) for kid in queries.kids[q]]
             continue
-        order = np.argsort(-b, kind="stable")
-        nodes, b, at, room = nodes[order], b[order], 0, 2048
-        while at < len(nodes) and b[at] >= best.least(low, high).min():
-            size = np.cumsum(data.high[nodes[at:]] - data.low[nodes[at:]])
-            some = nodes[at : at + max(1, int(np.searchsorted(size, room, side="right")))]
-            at += len(some)
-            room = max(2048, min(4 * room, PRODUCT // (high - low)))
-            rows = np.concatenate([np.arange(data.low[x], data.high[x]) for x in np.sort(some)])
-            for c in range(0, len(rows), max(1, PRODUCT // (high - low))):
-                part = rows[c : c + max(1, PRODUCT // (high - low))]
-                best.offer(low, _scores(queries, low, high, data.points[part], data.ids[part]), data.ids[part])
-            done += len(rows) * (high - low)
+        done += _at_leaf(queries, low, high, data, nodes, best)
     return done
 
 
@@ -289,7 +306,7 @@ def _searcher(folder: str, blocks: int, k: int, data_block: int):
                 if w not in trees:
                     trees[w] = [CoverTree(p.astype(np.float64), i) for i, p in held[w]]
                 norm = max(_largest(t.points) for t in trees[w])
-                queries = CoverTree(points.astype(np.float64), ids)
+                queries = CoverTree(points.astype(np.float64), ids, QUERY_LEAF, QUERY_BALL)
                 kind = _exact(queries.points, norm).dtype
                 queries.points = queries.points.astype(kind)
                 best = TopK(len(ids), k)
