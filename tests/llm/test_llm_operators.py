@@ -686,6 +686,26 @@ def test_kept_texts_lose_their_repeated_lines(spark):
     assert got[7].n_chars == 7 and got[7].score == "x"
 
 
+def test_many_repeated_lines_are_joined_by_key(spark, monkeypatch):
+    rng = random.Random(18)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    d = docs(spark, [f"{prose(60)}\nshort footer\n{'other menu' if i % 2 else prose(2)}" for i in range(60)])
+    lines = line_rules.parsed_lines(d.select("doc_id", "text", F.col("source").alias("host")))
+    hot = line_rules.repeated_lines(lines)
+    want = sorted(map(str, line_rules.removed_lines(lines, hot).collect()))
+    assert len(want) == 60 and sorted(r.held for r in hot.collect()) == [30, 60]
+    assert want == sorted(map(str, line_rules.removed_lines(lines, hot, broadcast_rows=1, heavy=40).collect()))
+    assert want == sorted(map(str, line_rules.removed_lines(lines, hot, broadcast_rows=0, heavy=40).collect()))
+
+
+def test_columns_with_dots_are_kept(spark):
+    d = docs(spark, ["some words " * 40, "too few"]).withColumn("a.b", F.lit(3)).withColumn("places", F.lit("p")).withColumn("cut", F.lit("c"))
+    (row,) = line_rules.keep_good(d, max_docs=1).collect() or [None]
+    assert row is None or row["a.b"] == 3
+    kept = line_rules.keep_good(d.withColumn("text", F.concat("text", F.lit(" "), F.expr("array_join(transform(sequence(1, 80), i -> concat('w', doc_id, 'x', i)), ' ')"))))
+    assert kept.columns == d.columns and {(r["a.b"], r.places, r.cut) for r in kept.collect()} == {(3, "p", "c")}
+
+
 def test_repeated_rows_get_the_same_verdict(spark):
     d = docs(spark, ["some words " * 40, "some words " * 40]).withColumn("doc_id", F.lit(1).cast("long"))
     rows = line_rules.quality_rules(d.unionByName(d.withColumn("doc_id", F.lit(None).cast("long")))).collect()

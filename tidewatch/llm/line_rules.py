@@ -2,14 +2,16 @@
 
 Lines are normalised (white space collapsed, A-Z lowered, digits to 0) and hashed. A line is repeated on a host if the host's
 distinct documents that hold it number more than ``max_docs`` and more than ``max_share`` of the host's distinct documents. On
-a host of up to 30,000 the first limit decides; above, the share does, since phrases that recur by chance grow in number with
+a host of up to 10,000 the first limit decides; above, the share does, since phrases that recur by chance grow in number with
 the host while a template's share doesn't shrink. Documents
 are told apart by the set of all their normalised lines, so copies count once, however many there are, and two documents with
 the same template and different content count twice. Texts that differ in a word are different documents. A document
 is rejected when less than ``min_left`` of its words are left without its repeated lines; ``keep_good`` takes these lines out
 of the texts that it keeps. The base rules judge the text as it came.
 
-A host may hold any share of the rows: counting is pre-aggregated by task, and the join of repeated lines to documents is salted.
+Lines are parsed and hashed once, into a table in the shared folder. A host or a line may hold any share of the rows: counting is
+pre-aggregated by task, repeated lines are broadcast where they are few, and where they are many, those on more than
+``HEAVY`` rows are (which are at most one in ``HEAVY`` of all lines), so that the rest can be joined by key.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows (same id and
 text) get the same result each; ids that differ only in text are told apart; an empty table gives no rows; other
@@ -26,10 +28,11 @@ from .common import WORD_SPLIT, read, stash
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
-MAX_DOCS = 30
+MAX_DOCS = 10
 MAX_SHARE = 0.001
 MIN_LEFT = 0.5
-SALTS = 16
+BROADCAST_ROWS = 1 << 18  # a host's name and 16 bytes each
+HEAVY = 1 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz0000000000"
 
@@ -60,34 +63,40 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def parsed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, host and the document's normalised lines: hash ``h``, words ``w``, place ``at`` among all its lines."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("host", F.lit("")).alias("host"))
     norm = F.transform(F.split("t", "\n"), lambda x, i: F.struct(_normal(x).alias("x"), i.alias("at")))
     d = d.select("doc_id", F.md5("t").alias("text_key"), "host", F.filter(norm, lambda s: s["x"] != "").alias("l"))
-    return d.withColumn("l", F.transform("l", lambda s: F.struct(F.md5(s["x"]).alias("h"), F.size(F.split(s["x"], " ")).alias("w"), s["at"].alias("at"))))
+    d = d.withColumn("l", F.transform("l", lambda s: F.struct(F.unhex(F.md5(s["x"])).alias("h"), F.size(F.split(s["x"], " ")).alias("w"), s["at"].alias("at"))))
+    return stash(d, "lines")
 
 
-def repeated_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, h): the normalised lines that recur on a host beyond the limits. ``docs``: doc_id, text, host."""
-    d = _lines(docs).select("host", F.sort_array(F.array_distinct(F.transform("l", lambda x: x["h"]))).alias("hs"))
+def repeated_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, h, held): the lines that recur on a host beyond the limits, and how many rows hold them. ``lines``: as parsed."""
+    none = F.lit(b"")
+    d = lines.select("host", F.sort_array(F.array_distinct(F.transform("l", lambda x: x["h"]))).alias("hs"))
     # the empty hash stands for the document itself, so that a host's distinct documents are counted in the same pass
-    d = d.select("host", F.md5(F.concat_ws("", "hs")).alias("whole"), F.explode(F.concat(F.array(F.lit("")), "hs")).alias("h"))
-    each = d.groupBy("host", "h", "whole").agg(F.lit(1).alias("one"))  # in two steps, so that a hot line is counted by many tasks
-    counts = each.groupBy("host", "h").agg(F.count("one").alias("kinds")).where((F.col("h") == "") | (F.col("kinds") > max_docs))
-    counts = stash(counts, "lines")  # read twice; it holds the hosts and the few lines that recur
-    hosts = counts.where("h = ''").select("host", F.col("kinds").alias("of"))
-    return counts.where("h <> ''").join(hosts, "host").where(F.col("kinds") > max_share * F.col("of")).select("host", "h")
+    whole = F.unhex(F.md5(F.array_join(F.transform("hs", F.hex), "").cast("binary")))
+    d = d.select("host", whole.alias("whole"), F.explode(F.concat(F.array(none), "hs")).alias("h"))
+    each = d.groupBy("host", "h", "whole").agg(F.count(F.lit(1)).alias("held"))  # in two steps, so that a hot line is counted by many tasks
+    counts = each.groupBy("host", "h").agg(F.count("held").alias("kinds"), F.sum("held").alias("held")).where((F.col("h") == none) | (F.col("kinds") > max_docs))
+    counts = stash(counts, "line-counts")  # read twice; it holds the hosts and the few lines that recur
+    hosts = counts.where(F.col("h") == none).select("host", F.col("kinds").alias("of"))
+    return counts.where(F.col("h") != none).join(hosts, "host").where(F.col("kinds") > max_share * F.col("of")).select("host", "h", "held")
 
 
-def removed_lines(docs: DataFrame, repeated: DataFrame, salts: int = SALTS) -> DataFrame:
+def removed_lines(lines: DataFrame, repeated: DataFrame, broadcast_rows: int = BROADCAST_ROWS, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, text_key, removed, places): the words in repeated lines and these lines' places, for documents that have any."""
-    d = _lines(docs).select("doc_id", "text_key", "host", F.explode("l").alias("l"))
+    d = lines.select("doc_id", "text_key", "host", F.explode("l").alias("l"))
     d = d.select("doc_id", "text_key", "host", F.col("l.at").alias("at"), F.col("l.h").alias("h"), F.col("l.w").alias("w"))
-    d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts)).cast("int"))
-    # a repeated line has more than max_docs rows, so its copies for the salts are fewer than the rows they meet
-    hot = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = d.join(hot, ["host", "h", "salt"])
+    repeated = stash(repeated, "repeated")
+    if repeated.count() <= broadcast_rows:
+        met = d.join(F.broadcast(repeated.drop("held")), ["host", "h"])
+    else:
+        many, few = repeated.where(F.col("held") > heavy), repeated.where(F.col("held") <= heavy)
+        many = many.drop("held").hint("broadcast") if many.count() <= broadcast_rows else many.drop("held")
+        met = d.join(many, ["host", "h"]).unionByName(d.join(few.drop("held"), ["host", "h"]))
     once = met.groupBy("doc_id", "text_key", "at").agg(F.max("w").alias("w"))  # equal rows count once
     return once.groupBy("doc_id", "text_key").agg(F.sum("w").cast("long").alias("removed"), F.sort_array(F.collect_list("at")).alias("places"))
 
@@ -95,7 +104,8 @@ def removed_lines(docs: DataFrame, repeated: DataFrame, salts: int = SALTS) -> D
 def _judged(docs: DataFrame, host: str, max_docs: int, max_share: float, min_left: float) -> DataFrame:
     """Counts, verdict and the ``places`` of repeated lines (null if none) for every row of ``docs``."""
     own = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"))
-    removed = removed_lines(own, repeated_lines(own, max_docs, max_share)).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    lines = parsed_lines(own)
+    removed = removed_lines(lines, repeated_lines(lines, max_docs, max_share)).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     d = text_counts(own)
     d = d.join(removed, d["doc_id"].eqNullSafe(removed["_id"]) & (d["text_key"] == removed["_key"]), "left")
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
@@ -126,7 +136,7 @@ def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, m
     """
     verdicts = stash(_judged(docs, host, max_docs, max_share, min_left).select("doc_id", "text_key", "kept", "places"), "verdicts")
     noted = verdicts.where(~F.col("kept") | F.col("places").isNotNull()).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}).dropDuplicates(["_id", "_key"])
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
     good = rows.join(noted, rows["row"]["doc_id"].eqNullSafe(noted["_id"]) & (rows["key"] == noted["_key"]), "left").where(F.coalesce("kept", F.lit(True)))
     return _without(good.select("row", "places"), docs.columns)
 
@@ -150,13 +160,9 @@ base AS (
   FROM tok LEFT JOIN rep ON tok.doc_id IS NOT DISTINCT FROM rep.doc_id AND tok.k = rep.k),
 ln AS (SELECT doc_id, k, host, nr, x FROM (SELECT doc_id, k, host, unnest(xs) AS x, unnest(range(len(xs))) AS nr FROM (
   SELECT doc_id, k, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), '{_UPPER}', '{_LOWER}')), lambda x: x <> '') AS xs FROM d))),
-u AS (SELECT DISTINCT doc_id, k, host, x FROM ln),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY length(x) DESC, md5(x)) AS pos FROM u),
-s AS (SELECT u.host, u.x, CASE WHEN a.x = u.x THEN coalesce(b.x, '') ELSE a.x END AS sig FROM u
-  JOIN r a ON a.doc_id = u.doc_id AND a.k = u.k AND a.pos = 1 LEFT JOIN r b ON b.doc_id = u.doc_id AND b.k = u.k AND b.pos = 2),
-hot AS (SELECT q.host, x FROM (SELECT host, x, count(DISTINCT sig) AS kinds, count(*) AS docs FROM s GROUP BY host, x) q
-  JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) h ON h.host = q.host
-  WHERE kinds > {MAX_DOCS} AND 2 * kinds >= docs AND kinds > {MAX_SHARE} * n),
+whole AS (SELECT doc_id, k, host, md5(coalesce(string_agg(x, chr(10) ORDER BY x), '')) AS whole FROM (SELECT DISTINCT d.doc_id, d.k, d.host, x FROM d LEFT JOIN ln ON ln.doc_id IS NOT DISTINCT FROM d.doc_id AND ln.k = d.k) GROUP BY ALL),
+hot AS (SELECT host, x FROM (SELECT ln.host, x, count(DISTINCT whole) AS kinds FROM ln JOIN whole ON whole.doc_id IS NOT DISTINCT FROM ln.doc_id AND whole.k = ln.k AND whole.host = ln.host GROUP BY ln.host, x)
+  JOIN (SELECT host, count(DISTINCT whole) AS n FROM whole GROUP BY host) USING (host) WHERE kinds > {MAX_DOCS} AND kinds > {MAX_SHARE} * n),
 gone AS (SELECT doc_id, k, sum(len(string_split(x, ' '))) AS n FROM (SELECT DISTINCT doc_id, k, nr, x FROM ln JOIN hot USING (host, x)) GROUP BY ALL)
 SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words,
