@@ -69,7 +69,14 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["stashed_at"] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files that ``stash`` wrote for ``df``, once nothing reads them any more."""
+    _remove(df.sparkSession, df.__dict__["stashed_at"])
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_filter, key_filter, map_arrow, map_rows, mix64, read, slices, stash
+from .common import in_filter, key_filter, map_arrow, map_rows, mix64, read, release, slices, stash
 from .components import connected_components
 from .tokens import ascii_words
 
@@ -500,8 +500,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR)
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); similarity num/100 or more links."""
     docs = docs.select("doc_id", "text")
     scan = stash(scanned(docs, k, num), "scan")
-    sets = scan.where(F.col("c").isNull()).select("doc_id", "n", "fp1", "fp2")
+    sets = stash(scan.where(F.col("c").isNull()).select("doc_id", "n", "fp1", "fp2"), "sets")
     levels = token_levels(scan.where(F.col("c").isNotNull()).select("token", "c"))
+    release(scan)  # one row a token and part: the largest table here, and not needed again
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stash(usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
     several = classes.where(F.col("c") > 1)
