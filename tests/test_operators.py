@@ -105,6 +105,71 @@ def test_shift_is_found_and_gate_holds(spark):
     assert 0 <= anomaly.ks_statistic(same, base).first().d <= 1
 
 
+def test_percentiles_are_exact_in_bounded_brackets(spark):
+    rng = random.Random(11)
+    cases = {"a": [rng.gauss(0, 1e6) for _ in range(40_000)], "b": [float(rng.randint(0, 3)) for _ in range(40_000)], "c": [7.0] * 40_000, "d": [rng.choice([-1e300, 0.0, 5e-324]) for _ in range(40_000)]}
+    df = spark.createDataFrame(list(zip(*cases.values(), strict=True)), ", ".join(f"{c} double" for c in cases)).repartition(5)
+    got = {r.column_name: r for r in profile.column_statistics(df).collect()}
+    exact = df.agg(*[F.percentile(c, F.array(*[F.lit(q) for q in profile.QUANTILES])).alias(c) for c in cases]).first()
+    for c in cases:
+        assert [got[c].p25, got[c].p50, got[c].p75, got[c].p99] == pytest.approx(exact[c]), c
+    for n in (1, 2, 3, 7, 499, 501, 2600):
+        few = spark.createDataFrame([(g, rng.random()) for g in (None, "x") for _ in range(n)], "g string, v double")
+        rows = profile.column_statistics(few, ["v"], ["g"]).collect()
+        want = {r.g: r.p for r in few.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in profile.QUANTILES])).alias("p")).collect()}
+        assert len(rows) == 2 and all([r.p25, r.p50, r.p75, r.p99] == pytest.approx(want[r.g]) for r in rows), n
+
+
+def test_histograms_of_many_columns_and_groups(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(rng.choice([None, "x", "y"]), rng.random(), rng.randint(0, 5) if rng.random() < 0.7 else None, None) for _ in range(500)], "g string, a double, `b.c` int, void double")
+    rows = profile.histograms(df, ["a", "b.c", "void"], 5, ["g"]).collect()
+    want = {(g, c): df.where(F.col("g").eqNullSafe(F.lit(g)) & F.col(f"`{c}`").isNotNull()).count() for g in (None, "x", "y") for c in ("a", "b.c")}
+    got = {}
+    for r in rows:
+        got[(r.g, r.column_name)] = got.get((r.g, r.column_name), 0) + r["count"]
+    assert got == want and len(rows) == 30
+
+
+def test_samples_have_their_exact_size(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("a"), F.col("id").alias("b"), F.lit(None).cast("int").alias("c"), F.when(F.col("id") == 5, 1).alias("d"))
+    for rate, want in ((0.5, (167, 500, 0, 1)), (0.01, (3, 10, 0, 1)), (0.0001, (3, 10, 0, 1)), (5.0, (330, 990, 0, 1))):
+        s = profile.sample_columns(df, df.columns, rate)
+        assert tuple(s.agg(*[F.count(c) for c in df.columns]).first()) == want
+    few = {r.column_name: r for r in profile.profile_dataset(df.limit(100), "d", "p", sample_rate=0.01).collect()}
+    assert few["b"].mean is not None and few["b"].total_count == 100 and few["c"].null_count == 100
+
+
+def test_exact_p_values(spark):
+    import itertools
+
+    for n1, n2 in ((3, 4), (5, 5), (4, 6), (1, 3)):
+        heights = []
+        for chosen in itertools.combinations(range(n1 + n2), n1):
+            i = most = 0
+            for k in range(n1 + n2):
+                i += k in chosen
+                most = max(most, abs(i * n2 - (k + 1 - i) * n1))
+            heights.append(most)
+        for h in range(n1 * n2 + 1):
+            assert anomaly.exact_p_value(h / (n1 * n2), n1, n2) == pytest.approx(sum(x >= h for x in heights) / len(heights))
+    big = spark.createDataFrame([(0.05, 20_000, 30_000), (0.05, 2_000, 3_000)], "d double, n1 int, n2 int")
+    p, tail = (big.select(f(F.col("d"), F.col("n1"), F.col("n2")).alias("p")).collect() for f in (anomaly.ks_p_value, lambda *x: anomaly.ks_p_value(*x, 0)))
+    assert p[0].p == tail[0].p and p[1].p != tail[1].p and p[1].p == pytest.approx(tail[1].p, rel=0.2)
+
+
+def test_broken_columns_do_not_stop_the_others(spark):
+    rng = random.Random(5)
+    base = buckets(spark, [(f"p{i}", [rng.gauss(50, 10) for _ in range(100)]) for i in range(8)])
+    far = buckets(spark, [("now", [rng.gauss(200, 5) for _ in range(100)])])
+    both = lambda df, bad: df.unionByName(df.withColumn("column_name", F.lit("broken")).withColumn("upper", F.lit(bad)))
+    for bad in (float("nan"), float("inf"), None):
+        events = anomaly.detect_anomalies(both(far, bad), both(base, 1.0)).collect()
+        assert {e.column_name for e in events} == {"x"} and {e.metric_name for e in events} <= {"ks_statistic", "kl_divergence"}
+        ks = next(e for e in events if e.metric_name == "ks_statistic")
+        assert float(ks.context["p_value"]) < 0.05 and float(ks.context["adaptive_threshold"]) == 0.15 and ks.detected_at and len(ks.anomaly_id) == 32
+
+
 def test_thresholds_update_only_what_is_given(spark):
     t = spark.createDataFrame([("d", "x", 0.1, 0.2)], "dataset string, column_name string, ks_threshold double, kl_threshold double")
     r = anomaly.set_threshold(t, "d", "x", ks=0.3).first()
@@ -166,6 +231,25 @@ def test_lineage_registration(spark):
         lineage.register(spark, nodes, edges, ["n:v1:a"], ["n:v1:a"], "derived", "p")
 
 
+def test_walks_of_large_and_small_graphs_agree(spark):
+    rng = random.Random(31)
+    names = [f"n{i % 7}:v{i % 3}:c{i}" for i in range(60)]
+    pairs = [(names[a], names[b]) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(140)) if a < b or rng.random() < 0.1]
+    nodes, edges = graph(spark, pairs)
+    roots = spark.createDataFrame([(n,) for n in (names[0], names[3], "absent")], "node string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for depth, ordered in ((None, True), (2, True), (None, False)):
+        assert rows(lineage.downstream(edges, roots, depth, ordered)) == rows(lineage.downstream(edges, roots, depth, ordered, small=0))
+    assert rows(lineage.upstream(edges, roots)) == rows(lineage.upstream(edges, roots, small=0))
+    close = lineage.downstream(edges, roots, None).where(F.col("level") >= 3).orderBy(F.desc("level"), "node").first()
+    if close:
+        paths = [[r.name for r in lineage.cycle_path(edges, close.node, close.root, small=k).orderBy("position").collect()] for k in (lineage.SMALL_GRAPH, 0)]
+        assert paths[0] == paths[1] and len(paths[0]) == close.level + 1
+    assert lineage.cycle_path(edges, "absent", names[0]).count() == 0
+    seen = lineage.impact_table(edges, nodes, pairs[0][0], 99)
+    assert seen.first().max_depth == 50
+
+
 def test_lineage_impact(spark):
     nodes, edges = graph(spark, [("n:v1:a", "n:v1:c"), ("n:v1:a", "n:v1:b"), ("n:v1:b", "m:v1:d"), ("n:v1:c", "m:v1:d")])
     r = lineage.impact(edges, nodes, "n:v1:a", 100)
@@ -213,6 +297,43 @@ def test_store_and_cache(spark, tmp_path):
     assert c.get("k") is None and not c.delete("k")
 
 
+def test_store_reads_only_the_days_of_a_range(spark, tmp_path):
+    s = TableStore(spark, str(tmp_path))
+    rows = [("d" if i % 2 else "e", dt.datetime(2024, 1, 1) + dt.timedelta(hours=6 * i), float(i)) for i in range(40)]
+    s.append("profiles", spark.createDataFrame(rows[:20], "dataset string, profiled_at timestamp, mean double"))
+    TableStore(spark, str(tmp_path), now=lambda: 0.0).append("profiles", spark.createDataFrame(rows[20:], "dataset string, profiled_at timestamp, mean double"))
+    got = s.between("profiles", "d", "profiled_at", dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 5))
+    want = [m for d, t, m in rows if d == "d" and dt.datetime(2024, 1, 3) <= t <= dt.datetime(2024, 1, 5)]
+    assert [r["mean"] for r in got.collect()] == sorted(want, reverse=True)
+    assert len(got.inputFiles()) > 0 and "PartitionFilters: [isnotnull(recorded_day" in got._jdf.queryExecution().toString()
+    assert s.read("profiles").columns == ["dataset", "profiled_at", "mean", "recorded"]
+    assert [r.recorded for r in s.read("profiles").select("recorded").distinct().orderBy("recorded").collect()][1] > 1_000_000
+
+
+def test_checks_without_a_service_level_are_errors(spark):
+    log = spark.createDataFrame([("x", 1, dt.datetime(2024, 1, 1))], "dataset string, seq long, at timestamp_ntz")
+    slas = spark.createDataFrame([("y", 60, 0.8, 0.9)], "dataset string, max_staleness_seconds int, warning_threshold double, critical_threshold double")
+    with pytest.raises(Exception, match="no service level is registered for x"):
+        freshness.check_freshness(log, log, slas).collect()
+    assert [(r.dataset, r.checks) for r in freshness.unregistered_checks(log, slas).collect()] == [("x", 1)]
+    # a status that earlier checks left stays until data arrives
+    arrived = spark.createDataFrame([("y", 1, dt.datetime(2024, 1, 1))], log.schema)
+    checked = spark.createDataFrame([("y", 2, dt.datetime(2024, 1, 1, 0, 2))], log.schema)
+    now = F.lit("2024-01-01 00:00:01").cast("timestamp_ntz")
+    assert freshness.current_status(arrived, checked, slas, now).first().status == "critical"
+    assert freshness.current_status(arrived, checked.limit(0), slas, now).first().status == "healthy"
+
+
+def test_contract_registration(spark):
+    cols = contracts.contract_columns(spark, [{"name": "id", "dtype": "integer", "primary_key": True}])
+    none = cols.limit(0).select(F.lit("").alias("dataset"), F.lit(0).alias("version"), "*", F.current_timestamp().alias("created_at"))
+    two = contracts.register_contract(contracts.register_contract(none, "a", cols), "a", cols.withColumn("version", F.lit(9)))
+    assert sorted(r.version for r in two.collect()) == [1, 2] and two.where("created_at IS NULL").count() == 0
+    assert contracts.get_contract(two, "a").first().version == 2 and contracts.get_contract(two, "a", 1).count() == 1 and contracts.get_contract(two, "b").count() == 0
+    with pytest.raises(contracts.ContractError):
+        contracts.register_contract(two, "a", cols.unionByName(cols))
+
+
 def test_alerts_order(spark):
     rows = [("a", dt.datetime(2024, 1, 1), None), ("b", dt.datetime(2024, 1, 2), None), ("c", dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 3))]
     df = spark.createDataFrame(rows, "dataset string, created_at timestamp_ntz, acknowledged_at timestamp_ntz")

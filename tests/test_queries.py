@@ -1,5 +1,10 @@
 """Every query on tables gives what its SQL gives."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from tests.compare import assert_same
@@ -24,6 +29,16 @@ def test_entry(spark):
     assert set(registry.queries()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_corpus_operators(tmp_path, pipeline):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *([] if pipeline else ["corpus_pipeline.py"])))
+    ask = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(q) == set(o) and len(q) > 90 and 'pipeline' not in q, sorted(q)"
+    done = subprocess.run([sys.executable, "-c", ask], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_arrival_prediction_takes_every_event(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect()
     assert len(events) > 300
@@ -33,7 +48,7 @@ def test_arrival_prediction_takes_every_event(spark, sf_dir):
             gap = (e.ts - last[e.event_type]).total_seconds()
             smoothed[e.event_type] = 0.3 * gap + 0.7 * smoothed[e.event_type] if e.event_type in smoothed else gap
         last[e.event_type] = e.ts
-    got = {r.dataset: r for r in registry.queries()["arrival_prediction_all"](spark, sf_dir).collect()}
+    got = {r.dataset: r for r in registry.queries()["arrival_prediction"](spark, sf_dir).collect()}
     assert {k: r.last_arrival for k, r in got.items()} == last
     assert all(abs(r.smoothed_gap_seconds - smoothed[k]) < 0.02 for k, r in got.items())
 
@@ -46,5 +61,5 @@ def test_freshness_takes_every_event(spark, sf_dir):
             stale = max(0.0, (e.ts - last[e.event_type]).total_seconds()) if e.event_type in last else float(sla[e.event_type])
             want[2 * e.event_id] = (e.ts, last.get(e.event_type), round(stale, 3))
         last[e.event_type] = e.ts
-    got = registry.queries()["freshness_monotonic_all"](spark, sf_dir).collect()
+    got = registry.queries()["freshness_monotonic"](spark, sf_dir).collect()
     assert len(got) == len(want) and {r.seq: (r.check_time, r.last_updated, r.staleness_seconds) for r in got} == want

@@ -91,6 +91,25 @@ def latest_contract(versions: DataFrame) -> DataFrame:
     return contract_history(versions, 1).drop("newest")
 
 
+def get_contract(versions: DataFrame, dataset: str, version: int | None = None) -> DataFrame:
+    """The columns of a dataset's contract: of one version, or of the latest. ``versions``: rows of contracts' columns with dataset and version."""
+    own = versions.where(F.col("dataset") == dataset)
+    if version is not None:
+        return own.where(F.col("version") == version)
+    return own.join(own.agg(F.max("version").alias("version")), "version").select(*versions.columns)
+
+
+def register_contract(versions: DataFrame, dataset: str, columns: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """``versions`` with the contract appended: its rules checked, numbered after the dataset's latest version and stamped.
+
+    Raises ``ContractError`` with the first broken rule and changes nothing. A version that the columns carry is ignored.
+    """
+    check_contract(columns)
+    last = versions.where(F.col("dataset") == dataset).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first().v
+    new = columns.drop("dataset", "version", "created_at").select(F.lit(dataset).alias("dataset"), F.lit(int(last) + 1).alias("version"), "*", (F.current_timestamp() if created_at is None else created_at).alias("created_at"))
+    return versions.unionByName(new, allowMissingColumns=True)
+
+
 def is_required() -> Column:
     return F.col("primary_key") | ~F.col("nullable")
 
@@ -105,13 +124,15 @@ def validation_errors(contract: DataFrame, observed: DataFrame, by: list[str] |
     """position, column_name, error: missing columns in contract order, then mismatches in observed order, type before nullability."""
     by = by or []
     p = _paired(contract, observed, by)
-    row = lambda df, group, place, text: df.select(*by, F.lit(group).alias("group"), place.alias("place"), F.col("name").alias("column_name"), text.alias("error"))
+    row = lambda when, group, place, text: F.when(when, F.struct(F.lit(group).alias("group"), place.alias("place"), text.alias("error")))
     kind = F.when(F.col("c_pk") | ~F.col("c_null"), "required").otherwise("optional")
-    missing = row(p.where("o_ord IS NULL"), 0, F.col("c_ord") * 2, F.concat(F.lit("missing "), kind, F.lit(" column '"), F.col("name"), F.lit("'")))
-    both = p.where("c_ord IS NOT NULL AND o_ord IS NOT NULL")
-    types = row(both.where("c_type <> o_type"), 1, F.col("o_ord") * 2, F.concat(F.lit("column '"), F.col("name"), F.lit("' is "), F.col("o_type"), F.lit(", not "), F.col("c_type")))
-    nulls = row(both.where("NOT c_null AND o_null"), 1, F.col("o_ord") * 2 + 1, F.concat(F.lit("column '"), F.col("name"), F.lit("' may be null")))
-    found = missing.unionByName(types).unionByName(nulls)
+    both = F.col("c_ord").isNotNull() & F.col("o_ord").isNotNull()
+    each = F.array(
+        row(F.col("o_ord").isNull(), 0, F.col("c_ord") * 2, F.concat(F.lit("missing "), kind, F.lit(" column '"), F.col("name"), F.lit("'"))),
+        row(both & (F.col("c_type") != F.col("o_type")), 1, F.col("o_ord") * 2, F.concat(F.lit("column '"), F.col("name"), F.lit("' is "), F.col("o_type"), F.lit(", not "), F.col("c_type"))),
+        row(both & ~F.col("c_null") & F.col("o_null"), 1, F.col("o_ord") * 2 + 1, F.concat(F.lit("column '"), F.col("name"), F.lit("' may be null"))),
+    )
+    found = p.select(*by, F.col("name").alias("column_name"), F.inline(F.array_compact(each)))
     order = Window.partitionBy(*by).orderBy("group", "place") if by else Window.partitionBy(F.lit(0)).orderBy("group", "place")
     return found.withColumn("position", F.row_number().over(order)).drop("group", "place")
 
@@ -132,19 +153,21 @@ def schema_drift(contract: DataFrame, observed: DataFrame, by: list[str] | None
     by = by or []
     p = _paired(contract, observed, by)
     true_false = lambda c: F.initcap(c.cast("string"))
+    none = F.lit(None).cast("string")
 
-    def rows(df: DataFrame, group: int, place: Column, kind: str, severity: Column, old: Column, new: Column) -> DataFrame:
-        return df.select(*by, F.lit(group).alias("group"), place.alias("place"), F.col("name").alias("column_name"), F.lit(kind).alias("drift_type"), severity.alias("severity"), old.cast("string").alias("old_value"), new.cast("string").alias("new_value"))
+    def row(when: Column, group: int, place: Column, kind: str, severity: Column, old: Column, new: Column) -> Column:
+        return F.when(when, F.struct(F.lit(group).alias("group"), place.alias("place"), F.lit(kind).alias("drift_type"), severity.alias("severity"), old.alias("old_value"), new.alias("new_value")))
 
-    none = F.lit(None).cast("string")
-    removed = rows(p.where("o_ord IS NULL"), 0, F.col("c_ord") * 2, "column_removed", F.when(F.col("c_pk") | ~F.col("c_null"), "critical").otherwise("warning"), F.col("c_type"), none)
-    added = rows(p.where("c_ord IS NULL"), 1, F.col("o_ord") * 2, "column_added", F.lit("info"), none, F.col("o_type"))
-    both = p.where("c_ord IS NOT NULL AND o_ord IS NOT NULL")
+    both = F.col("c_ord").isNotNull() & F.col("o_ord").isNotNull()
     a, b = type_width(F.col("c_type")), type_width(F.col("o_type"))
     widened = F.when(a.isNull() | b.isNull(), "critical").when(b < a, "critical").otherwise("warning")
-    types = rows(both.where("c_type <> o_type"), 2, F.col("c_ord") * 2, "type_changed", widened, F.col("c_type"), F.col("o_type"))
-    nulls = rows(both.where("c_null <> o_null"), 2, F.col("c_ord") * 2 + 1, "nullability_changed", F.when(F.col("o_null"), "critical").otherwise("warning"), true_false(F.col("c_null")), true_false(F.col("o_null")))
-    found = removed.unionByName(added).unionByName(types).unionByName(nulls)
+    each = F.array(
+        row(F.col("o_ord").isNull(), 0, F.col("c_ord") * 2, "column_removed", F.when(F.col("c_pk") | ~F.col("c_null"), "critical").otherwise("warning"), F.col("c_type"), none),
+        row(F.col("c_ord").isNull(), 1, F.col("o_ord") * 2, "column_added", F.lit("info"), none, F.col("o_type")),
+        row(both & (F.col("c_type") != F.col("o_type")), 2, F.col("c_ord") * 2, "type_changed", widened, F.col("c_type"), F.col("o_type")),
+        row(both & (F.col("c_null") != F.col("o_null")), 2, F.col("c_ord") * 2 + 1, "nullability_changed", F.when(F.col("o_null"), "critical").otherwise("warning"), true_false(F.col("c_null")), true_false(F.col("o_null"))),
+    )
+    found = p.select(*by, F.col("name").alias("column_name"), F.inline(F.array_compact(each)))
     order = Window.partitionBy(*by).orderBy("group", "place") if by else Window.partitionBy(F.lit(0)).orderBy("group", "place")
     found = found.withColumn("position", F.row_number().over(order)).drop("group", "place")
     if downstream is None:

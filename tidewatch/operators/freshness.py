@@ -58,22 +58,54 @@ def _judged(df: DataFrame) -> DataFrame:
 
 
 def check_freshness(arrivals: DataFrame, checks: DataFrame, slas: DataFrame) -> DataFrame:
-    """Every check with its status, in the order the log was recorded (an as-of join by sequence, then a running maximum)."""
+    """Every check with its status, in the order the log was recorded (an as-of join by sequence, then a running maximum).
+
+    A check of a dataset without a service level is an error; ``unregistered_checks`` lists them beforehand.
+    """
     log = arrivals.select("dataset", "seq", F.col("at").alias("arrived"), F.lit(None).cast(dict(checks.dtypes)["at"]).alias("check_time")).unionByName(
         checks.select("dataset", "seq", F.lit(None).cast(dict(arrivals.dtypes)["at"]).alias("arrived"), F.col("at").alias("check_time"))
     )
     so_far = Window.partitionBy("dataset").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     log = log.withColumns({"last_updated": F.last("arrived", ignorenulls=True).over(so_far), "epoch": F.count("arrived").over(so_far)})
-    found = _judged(log.where(F.col("check_time").isNotNull()).join(slas, "dataset"))
+    met = log.where(F.col("check_time").isNotNull()).join(slas, "dataset", "left")
+    known = F.when(F.col("max_staleness_seconds").isNull(), F.raise_error(F.concat(F.lit("no service level is registered for "), F.col("dataset"))).cast("int")).otherwise(F.col("max_staleness_seconds"))
+    found = _judged(met.withColumn("max_staleness_seconds", known))
     since = Window.partitionBy("dataset", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     worst = F.max(ranked(F.col("raw_status"), STATES)).over(since)
     return found.select("dataset", "seq", "check_time", "last_updated", "staleness_seconds", "sla_consumed_pct", named(worst, STATES).alias("status"))
 
 
-def current_status(arrivals: DataFrame, slas: DataFrame, as_of: Column) -> DataFrame:
-    """One check of every registered dataset at one time."""
-    last = arrivals.groupBy("dataset").agg(F.max_by("at", "seq").alias("last_updated"))
-    return _judged(slas.join(last, "dataset", "left").withColumn("check_time", as_of)).select("dataset", "check_time", "last_updated", "staleness_seconds", "sla_consumed_pct", F.col("raw_status").alias("status"))
+def unregistered_checks(checks: DataFrame, slas: DataFrame) -> DataFrame:
+    """(dataset, checks, error): datasets that are checked without a service level."""
+    n = checks.groupBy("dataset").agg(F.count(F.lit(1)).alias("checks")).join(slas, "dataset", "left_anti")
+    return n.withColumn("error", F.concat(F.lit("no service level is registered for "), F.col("dataset")))
+
+
+def current_status(arrivals: DataFrame, checks: DataFrame, slas: DataFrame, as_of: Column) -> DataFrame:
+    """One check of every registered dataset at one time, after the logs given: a status earlier checks left doesn't improve."""
+    last = arrivals.select("dataset", "seq").unionByName(checks.select("dataset", "seq")).groupBy("dataset").agg(F.max("seq").alias("seq"))
+    now = slas.select("dataset").join(last, "dataset", "left").select("dataset", (F.coalesce("seq", F.lit(0)) + 1).alias("seq"), as_of.alias("at"))
+    logs = [x.select("dataset", "seq", "at").join(slas, "dataset", "left_semi") for x in (arrivals, checks)]
+    done = check_freshness(logs[0], logs[1].unionByName(now), slas)
+    return done.join(now.select("dataset", "seq"), ["dataset", "seq"], "left_semi").drop("seq")
+
+
+def check_history(checked: DataFrame, dataset: str) -> DataFrame:
+    """A dataset's recorded checks in the order they were made, whatever time they looked at."""
+    return checked.where(F.col("dataset") == dataset).orderBy("seq")
+
+
+def staleness_over_time(arrivals: DataFrame, slas: DataFrame, first: Column, last: Column, step: Column) -> DataFrame:
+    """(dataset, at, staleness_seconds, sla_consumed_pct, warning_line, breach_line) on a time grid, both ends included.
+
+    Each point sees the arrivals up to it; the lines are where a warning and a breach begin, as shares of the service level.
+    """
+    grid = slas.select("dataset", F.explode(F.sequence(first, last, step)).alias("at"))
+    log = grid.withColumn("arrived", F.lit(None).cast(dict(grid.dtypes)["at"])).unionByName(arrivals.select("dataset", "at", F.col("at").alias("arrived")).join(slas, "dataset", "left_semi"))
+    upto = Window.partitionBy("dataset").orderBy("at", F.col("arrived").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.withColumn("last_updated", F.max("arrived").over(upto)).where(F.col("arrived").isNull()).withColumnRenamed("at", "check_time")
+    found = _judged(seen.join(slas, "dataset"))
+    return found.select("dataset", F.col("check_time").alias("at"), "staleness_seconds", "sla_consumed_pct", F.col("warning_threshold").alias("warning_line"), F.lit(1.0).alias("breach_line"))
 
 
 def suppressed_by_maintenance(statuses: DataFrame, windows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: fixed values: known alert types and their strategies; keywords in the order they are tried
 KNOWN = {"upstream_timeout": "auto_retry", "schema_violation": "quarantine", "data_gap": "backfill", "freshness_breach": "backfill"}
@@ -67,3 +68,35 @@ def missing_days(df: DataFrame, ts: str, first: Column, last: Column) -> DataFra
     """Ours: days from first to last without a row, the jobs of a backfill."""
     days = df.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("day"))
     return days.join(df.select(F.to_date(ts).alias("day")).distinct(), "day", "left_anti")
+
+
+def _id(*parts: Column) -> Column:
+    """A repeatable id of what a row is about."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def quarantine_receipt(bad: DataFrame, dataset: str, at: Column, reprocessable: bool = True) -> DataFrame:
+    """Ours: a receipt for each reason among quarantined rows: how many, when, and whether they may be processed again."""
+    n = bad.groupBy(F.col("quarantine_reason").alias("reason")).agg(F.count(F.lit(1)).alias("record_count"))
+    return n.select(_id(F.lit(dataset), F.col("reason"), at).alias("quarantine_id"), F.lit(dataset).alias("dataset"), "record_count", "reason", at.alias("quarantined_at"), F.lit(reprocessable).alias("reprocessable"))
+
+
+def backfill_jobs(days: DataFrame, dataset: str, triggered_by: str, reason: str) -> DataFrame:
+    """Ours: pending jobs, one for each run of successive missing days (day), from the first day up to the day after the last."""
+    island = F.date_sub("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")))
+    runs = days.select("day", island.alias("i")).groupBy("i").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    return runs.select(
+        _id(F.lit(dataset), F.col("a"), F.col("b")).alias("job_id"), F.lit(dataset).alias("dataset"), F.col("a").alias("time_range_start"), F.date_add("b", 1).alias("time_range_end"),
+        F.lit(triggered_by).alias("triggered_by"), F.lit(reason).alias("reason"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("records_processed"), F.lit(0).cast("long").alias("records_failed"),
+    )
+
+
+def escalations(selected: DataFrame, at: Column) -> DataFrame:
+    """Ours: a row for each alert whose strategy is to escalate, at the first level."""
+    return selected.where(F.col("strategy") == FALLBACK).select(_id(F.col("alert_id"), at).alias("chain_id"), "alert_id", "root_cause", F.lit(1).alias("current_level"), at.alias("started_at"))
+
+
+def record_result(history: DataFrame, alert_id: str, dataset: str, strategy: str, success: bool, started_at: Column, details: str, records_affected: int = 0) -> DataFrame:
+    """``history`` with one result appended."""
+    row = history.sparkSession.range(1).select(F.lit(alert_id).alias("alert_id"), F.lit(dataset).alias("dataset"), F.lit(strategy).alias("strategy"), F.lit(success).alias("success"), started_at.alias("started_at"), F.lit(details).alias("details"), F.lit(records_affected).cast("long").alias("records_affected"))
+    return history.unionByName(row, allowMissingColumns=True)

@@ -1,7 +1,10 @@
 """Column profiles: counts, moments, exact percentiles, lengths, distinct counts, histograms, top values.
 
-Statistics of all columns come from one aggregation; rows are reshaped afterwards. NaN counts as a value, is reported in
-``nan_count`` and left out of numeric statistics. Columns without a value have null statistics and distinct count 0.
+Statistics of all columns come from two scans. The first one brackets each percentile by a mergeable quantile sketch; the second
+one takes everything else, with, for each percentile, the number of values below the bracket and the values inside it, which are
+a few hundred thousandths of all. So percentiles are exact, and no task holds a column's distinct values. Rows are reshaped
+afterwards. NaN counts as a value, is reported in ``nan_count`` and left out of numeric statistics. Columns without a value
+have null statistics and distinct count 0.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ EXACT_DISTINCT = 100_000
 SKETCH_LOG_BUCKETS = 14
 BINS, LEAST_BINS, MOST_BINS = 20, 5, 100
 LEAST_RATE, MOST_RATE = 0.01, 0.99
+QUANTILES = (0.25, 0.5, 0.75, 0.99)
+SKETCH_ACCURACY = 50_000  # a bracket reaches this many times less than all values, three times over, to either side
+MOST_GROUPS = 100_000  # rows of a small side up to which it is held by the driver and broadcast
+MOMENTS = ("mean", "min_value", "max_value", "std_dev", "skewness", "kurtosis")
 NUMERIC = ("mean", "min_value", "max_value", "std_dev", "p25", "p50", "p75", "p99", "skewness", "kurtosis")
 
 
@@ -51,21 +58,75 @@ def _number(name: str, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(x), x) if isinstance(dtype, (T.FloatType, T.DoubleType)) else x
 
 
+def held(df: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
+    """A table of ``most`` rows at most as literal rows, marked for broadcast; a larger one as it is."""
+    rows = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema)) if 0 < rows.num_rows <= most else df
+
+
+def _met(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of its group's row of ``small``; nulls are a group. Without groups ``small`` has one row."""
+    if not by:
+        return df.join(small)
+    other = small.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(Column.__and__, [df[c].eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return df.join(other, same).drop(*[f"_by_{c}" for c in by])
+
+
+def _brackets(df: DataFrame, numeric: dict[str, Column], by: list[str]) -> DataFrame:
+    """For each group and column the array of lower and upper ends around each percentile."""
+    tiers = (3 / SKETCH_ACCURACY, 0.004)  # the narrowest reach that still spans two values of n decides; below 500 values all are inside
+
+    def ends(x: Column) -> Column:
+        spots = [min(1.0, max(0.0, q + d * t)) for t in tiers for q in QUANTILES for d in (-1, 1)]
+        found, n, half = F.percentile_approx(x, F.array(*[F.lit(v) for v in spots]), SKETCH_ACCURACY), F.count(x), 2 * len(QUANTILES)
+        return F.array(*[F.when(n * tiers[0] >= 2, found[i]).when(n * tiers[1] >= 2, found[half + i]).otherwise(F.max(x) if i % 2 else F.min(x)) for i in range(half)])
+
+    return held(df.groupBy(*by).agg(*[ends(x).alias(f"_q_{c}") for c, x in numeric.items()]))
+
+
+_PIECE = "struct<lo:double,hi:double,below:bigint,at_lo:bigint,at_hi:bigint,inside:array<double>>"
+
+
+def _pieces(x: Column, name: str) -> Column:
+    """What each percentile is read from: its bracket, how many values lie below and on its ends, and those inside."""
+    out = []
+    for k in range(len(QUANTILES)):
+        lo, hi = F.col(f"`_q_{name}`")[2 * k], F.col(f"`_q_{name}`")[2 * k + 1]
+        inside = F.collect_list(F.when((x > lo) & (x < hi), x))
+        out.append(F.struct(F.max(lo).alias("lo"), F.max(hi).alias("hi"), F.count_if(x < lo).alias("below"), F.count_if(x == lo).alias("at_lo"), F.count_if((x == hi) & (hi > lo)).alias("at_hi"), inside.alias("inside")))
+    return F.array(*out)
+
+
+def _percentile(piece: Column, q: float, n: Column) -> Column:
+    """The percentile q of n values, interpolated between its neighbours."""
+    place = q * (n - 1)
+    first = F.floor(place)
+    inside = F.sort_array(piece["inside"])
+
+    def at(r: Column) -> Column:
+        i = r - piece["below"]
+        last = piece["at_lo"] + F.size(inside)
+        missed = F.raise_error(F.lit("a quantile sketch missed its percentile")).cast("double")
+        return F.when((i < 0) | (i >= last + piece["at_hi"]), missed).when(i < piece["at_lo"], piece["lo"]).when(i < last, F.get(inside, (i - piece["at_lo"]).cast("int"))).otherwise(piece["hi"])
+
+    return F.when(n > 0, F.when(place == first, at(first)).otherwise(at(first) * (first + 1 - place) + at(first + 1) * (place - first)))
+
+
 def _stats(field: T.StructField) -> Column:
-    """One struct of all statistics of a column."""
+    """One struct of all statistics of a column, and what its percentiles are read from."""
     c, kind = F.col(f"`{field.name}`"), declared_type(field.dataType)
     none = lambda t: F.lit(None).cast(t)
     if kind in ("integer", "float", "decimal"):
         x = _number(field.name, field.dataType)
-        p = F.percentile(x, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.99)]))
-        numeric = [F.avg(x), F.min(x), F.max(x), F.stddev_samp(x), p[0], p[1], p[2], p[3], adjusted_skewness(x), excess_kurtosis(x)]
+        numeric, pieces, n = [F.avg(x), F.min(x), F.max(x), F.stddev_samp(x), adjusted_skewness(x), excess_kurtosis(x)], _pieces(x, field.name), F.count(x)
     else:
-        numeric = [none("double")] * len(NUMERIC)
+        numeric, pieces, n = [none("double")] * len(MOMENTS), none(f"array<{_PIECE}>"), F.lit(0).cast("long")
     text = [F.avg(F.length(c)), F.max(F.length(c)).cast("long")] if kind == "string" else [none("double"), none("long")]
     nan = F.count_if(F.isnan(c)) if kind == "float" else F.lit(0).cast("long")
     return F.struct(
         F.lit(field.name).alias("column_name"), F.lit(kind).alias("dtype"), F.count(F.lit(1)).alias("total_count"), F.count_if(c.isNull()).alias("null_count"), nan.alias("nan_count"),
-        *[v.alias(n) for n, v in zip(NUMERIC, numeric, strict=True)], text[0].alias("avg_length"), text[1].alias("max_length"),
+        *[v.alias(m) for m, v in zip(MOMENTS, numeric, strict=True)], text[0].alias("avg_length"), text[1].alias("max_length"), n.alias("_n"), pieces.alias("_p"),
     )
 
 
@@ -76,8 +137,14 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None, by: list[
     if len(names) > MOST_COLUMNS:
         raise ProfileError(f"{len(names)} columns; at most {MOST_COLUMNS} are profiled")
     fields = {f.name: f for f in df.schema.fields}
+    numeric = {n: _number(n, fields[n].dataType) for n in names if declared_type(fields[n].dataType) in ("integer", "float", "decimal")}
+    if numeric:
+        df = _met(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*by, *names])]), _brackets(df, numeric, by), by)
     wide = df.groupBy(*by).agg(F.array(*[_stats(fields[n]) for n in names]).alias("s"))
-    return wide.select(*by, F.inline("s"))
+    long = wide.select(*by, F.inline("s"))
+    found = {f"p{round(100 * q)}": _percentile(F.get("_p", F.lit(k)), q, F.col("_n")) for k, q in enumerate(QUANTILES)}
+    rows = ["column_name", "dtype", "total_count", "null_count", "nan_count"]
+    return long.select(*by, *rows, *[found[c].alias(c) if c in found else F.col(c) for c in NUMERIC], "avg_length", "max_length")
 
 
 def distinct_exact(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -108,29 +175,63 @@ def distinct_counts(df: DataFrame, columns: list[str], exact_up_to: int = EXACT_
     return reduce(DataFrame.unionByName, parts)
 
 
-def sample_values(df: DataFrame, rate: float, seed: int = 42) -> DataFrame:
-    """A sample of rows without replacement; the rate is held within [0.01, 0.99]."""
-    return df.sample(withReplacement=False, fraction=clamp_rate(rate), seed=seed)
+def sample_columns(df: DataFrame, columns: list[str], rate: float, seed: int = 42) -> DataFrame:
+    """``columns`` with all but max(1, n * rate) of each column's n non-null values set to null; the rate is held within [0.01, 0.99].
 
+    Rows have a seeded random number, and a column's sample are the values with the smallest ones. The number to cut at is known
+    to lie near the rate, so it is found exactly from the few numbers there, and nothing is sorted as a whole.
+    """
+    rate = clamp_rate(rate)
+    d = df.select(*[F.col(f"`{c}`") for c in columns], F.rand(seed).alias("_u"))
+    sizes = d.agg(*[F.count(F.col(f"`{c}`")) for c in columns]).first()
+    wanted, near = [max(1, int(n * rate)) if n else 0 for n in sizes], []
+    for c, n, k in zip(columns, sizes, wanted, strict=True):
+        reach = 8 * (k**0.5 + 4)  # eight deviations of how many numbers lie below k / n, and more
+        low, high = ((k - reach) / n, (k + reach) / n) if n else (0.0, 0.0)
+        u = F.when(F.col(f"`{c}`").isNotNull(), F.col("_u"))
+        near.append(F.struct(F.count_if(u < low).alias("below"), F.sort_array(F.collect_list(F.when((u >= low) & (u <= high), u))).alias("u")))
+    found = d.agg(*near).first()
+    cuts = [f.u[k - 1 - f.below] if k else -1.0 for f, k in zip(found, wanted, strict=True)]
+    return d.select(*[F.when(F.col("_u") <= cut, F.col(f"`{c}`")).alias(c) for c, cut in zip(columns, cuts, strict=True)])
 
-def histogram(df: DataFrame, column: str, bins: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """A row a bin: position, lower, upper, count. Empty bins are kept; a constant column spans v - 0.5 to v + 0.5."""
+
+def _bounds(df: DataFrame, numeric: dict[str, Column], by: list[str]) -> DataFrame:
+    """For each group the array of [least, most] of each column; a constant column spans v - 0.5 to v + 0.5."""
+    def ends(x: Column) -> Column:
+        flat = F.min(x) == F.max(x)
+        return F.array(F.when(flat, F.min(x) - 0.5).otherwise(F.min(x)), F.when(flat, F.max(x) + 0.5).otherwise(F.max(x)))
+
+    return held(df.groupBy(*by).agg(F.array(*[ends(x) for x in numeric.values()]).alias("_ends")))
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, column_name, position, lower, upper, count) of all numeric ``columns`` in two scans. Empty bins are kept."""
     by, n = by or [], clamp_bins(bins)
-    x = _number(column, df.schema[column].dataType)
-    v = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
-    span = v.groupBy(*by).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b")).where(F.col("_a").isNotNull())
-    flat = F.col("_a") == F.col("_b")
-    span = span.select(*by, F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_lo"), F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_hi"))
-    met = v.join(span, by) if by else v.join(F.broadcast(span))  # without groups the span is one row
-    counts = met.groupBy(*by, bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), F.lit(n)).alias("position")).agg(F.count(F.lit(1)).alias("_n"))
-    grid = span.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("position"))
+    numeric = {c: _number(c, df.schema[c].dataType) for c in columns}
+    bounds = _bounds(df, numeric, by)
+    end = lambda i, k: F.get(F.get("_ends", F.lit(i)), F.lit(k))
+    met = _met(df.select(*by, *[F.col(f"`{c}`") for c in columns if c not in by]), bounds, by)
+    # a row's places in all columns, counted by task before anything is shuffled
+    place = [F.when(x.isNotNull(), F.struct(F.lit(i).alias("_c"), bin_index(x, end(i, 0), end(i, 1), F.lit(n)).alias("position"))) for i, x in enumerate(numeric.values())]
+    counts = met.select(*by, F.inline(F.array_compact(F.array(*place)))).groupBy(*by, "_c", "position").agg(F.count(F.lit(1)).alias("_n"))
+    grid = bounds.select(*by, F.posexplode("_ends").alias("_c", "_e")).where(F.get("_e", F.lit(0)).isNotNull())
+    grid = grid.select(*by, "_c", F.get("_e", F.lit(0)).alias("_lo"), F.get("_e", F.lit(1)).alias("_hi"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("position"))
+    names = F.array(*[F.lit(c) for c in columns])
     step = (F.col("_hi") - F.col("_lo")) / n
     upper = F.when(F.col("position") == n - 1, F.col("_hi")).otherwise(F.col("_lo") + (F.col("position") + 1) * step)
-    return grid.join(counts, [*by, "position"], "left").select(*by, "position", (F.col("_lo") + F.col("position") * step).alias("lower"), upper.alias("upper"), F.coalesce("_n", F.lit(0)).cast("long").alias("count"))
+    other = counts.withColumnsRenamed({c: f"_by_{c}" for c in [*by, "_c", "position"]})
+    same = reduce(Column.__and__, [grid[c].eqNullSafe(F.col(f"_by_{c}")) for c in [*by, "_c", "position"]])
+    found = grid.join(other, same, "left")
+    return found.select(*by, F.get(names, F.col("_c")).alias("column_name"), "position", (F.col("_lo") + F.col("position") * step).alias("lower"), upper.alias("upper"), F.coalesce("_n", F.lit(0)).cast("long").alias("count"))
+
+
+def histogram(df: DataFrame, column: str, bins: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """A row a bin: position, lower, upper, count. Empty bins are kept; a constant column spans v - 0.5 to v + 0.5."""
+    return histograms(df, [column], bins, by).drop("column_name")
 
 
 def histogram_array(buckets: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Buckets as one array of (lower, upper, count) a group."""
+    """Buckets as one array of (lower, upper, count) a group; a group has as many rows as bins."""
     by = by or []
     rows = buckets.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("position", "lower", "upper", "count"))).alias("h"))
     return rows.select(*by, F.transform("h", lambda b: F.struct(b["lower"].alias("lower"), b["upper"].alias("upper"), b["count"].alias("count"))).alias("histogram"))
@@ -145,24 +246,31 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 
 def profile_dataset(df: DataFrame, dataset: str, partition_key: str, columns: list[str] | None = None, bins: int | None = None, sample_rate: float | None = None) -> DataFrame:
-    """Long profile rows with histograms. With a sample rate only the counts of rows and nulls see every row."""
+    """Long profile rows with histograms, computed when called; the duration is that of computing them.
+
+    With a sample rate only the counts of rows, nulls and NaN see every value. The result has a row a column, so it is held.
+    """
     names = columns or df.columns
     if len(names) > MOST_COLUMNS:
         raise ProfileError(f"{len(names)} columns; at most {MOST_COLUMNS} are profiled")
     began = time.monotonic()
-    stats = column_statistics(df, names)
     seen = df
     if sample_rate is not None:
-        seen = sample_values(df, sample_rate)
-        whole = stats.select("column_name", "total_count", "null_count")
-        stats = column_statistics(seen, names).drop("total_count", "null_count").join(F.broadcast(whole), "column_name")
+        seen = sample_columns(df, names, sample_rate)
+    stats = column_statistics(seen, names)
+    if sample_rate is not None:
+        counted = ["total_count", "null_count"]
+        whole = df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias(counted[0]), F.count_if(F.col(f"`{c}`").isNull()).alias(counted[1])) for c in names]).alias("s")).select(F.inline("s"))
+        stats = stats.drop(*counted).join(F.broadcast(whole), "column_name").select(*stats.columns)
     stats = stats.join(F.broadcast(distinct_counts(seen, names)), "column_name", "left")
-    numeric = [f.name for f in df.schema.fields if f.name in names and declared_type(f.dataType) in ("integer", "float", "decimal")]
+    numeric = [f.name for f in seen.schema.fields if f.name in names and declared_type(f.dataType) in ("integer", "float", "decimal")]
     if numeric:
-        shapes = reduce(DataFrame.unionByName, [histogram_array(histogram(seen, c, bins)).select(F.lit(c).alias("column_name"), "histogram") for c in numeric])
-        stats = stats.join(F.broadcast(shapes), "column_name", "left")
+        stats = stats.join(F.broadcast(histogram_array(histograms(seen, numeric, bins), ["column_name"])), "column_name", "left")
+    else:
+        stats = stats.withColumn("histogram", F.lit(None).cast("array<struct<lower:double,upper:double,count:bigint>>"))
+    found = df.sparkSession.createDataFrame(stats.toArrow(), schema=stats.schema)
     took = max(1, int((time.monotonic() - began) * 1000))
-    return stats.select(F.lit(dataset).alias("dataset"), F.lit(partition_key).alias("partition_key"), "*", F.lit(took).cast("long").alias("profiling_duration_ms"))
+    return found.select(F.lit(dataset).alias("dataset"), F.lit(partition_key).alias("partition_key"), "*", F.lit(took).cast("long").alias("profiling_duration_ms"))
 
 
 def row_count(profile: DataFrame) -> DataFrame:

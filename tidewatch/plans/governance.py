@@ -27,6 +27,34 @@ def contract_history(spark: SparkSession, d: str) -> DataFrame:
     return contracts.contract_history(load(spark, d, "orders").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").alias("version")))
 
 
+_HAVE = "(VALUES ('a', 1, 0, 'id', 'integer'), ('a', 2, 0, 'id', 'float'), ('a', 2, 1, 'x', 'string'), ('b', 1, 0, 'k', 'date')) AS t(dataset, version, ordinal, name, dtype)"
+_ADD = "(VALUES (9, 0, 'id', 'decimal'), (9, 1, 'y', 'string')) AS t(version, ordinal, name, dtype)"
+
+
+def _versions(spark: SparkSession) -> DataFrame:
+    rest = [F.lit(True).alias("nullable"), F.lit(False).alias("primary_key"), F.lit(1.0).alias("max_null_rate"), F.lit(None).cast("double").alias("min_value"), F.lit(None).cast("double").alias("max_value")]
+    return values(spark, _HAVE).select("*", *rest, at("2024-01-01 00:00:00").alias("created_at"))
+
+
+@query(f"""WITH h AS (SELECT dataset, version, ordinal, name, dtype, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM {_HAVE}), n AS (SELECT dataset, max(version) + 1 AS version FROM h GROUP BY 1 UNION ALL SELECT 'c', 1)
+SELECT * FROM h WHERE dataset IN ('a', 'c') UNION ALL SELECT n.dataset, n.version, t.ordinal, t.name, t.dtype, TIMESTAMP '2024-02-01 00:00:00' FROM n, {_ADD} WHERE n.dataset IN ('a', 'c')""")
+def contract_registered(spark: SparkSession, d: str) -> DataFrame:
+    """The same columns registered for a dataset with contracts and for a new one; the version they carry is ignored."""
+    new = values(spark, _ADD).join(_versions(spark).select("nullable", "primary_key", "max_null_rate", "min_value", "max_value").limit(1))
+    out = _versions(spark)
+    for dataset in ("a", "c"):
+        out = contracts.register_contract(out, dataset, new, at("2024-02-01 00:00:00"))
+    return out.where("dataset <> 'b'").select("dataset", "version", "ordinal", "name", "dtype", "created_at")
+
+
+@query(f"WITH h AS (SELECT * FROM {_HAVE}) SELECT 'latest' AS asked, h.* FROM h WHERE dataset = 'a' AND version = (SELECT max(version) FROM h WHERE dataset = 'a') UNION ALL SELECT 'first', h.* FROM h WHERE dataset = 'a' AND version = 1 UNION ALL SELECT 'none', h.* FROM h WHERE dataset = 'a' AND version = 7")
+def contract_of_version(spark: SparkSession, d: str) -> DataFrame:
+    v = values(spark, _HAVE)
+    asked = {"latest": contracts.get_contract(v, "a"), "first": contracts.get_contract(v, "a", 1), "none": contracts.get_contract(v, "a", 7)}
+    parts = [x.select(F.lit(k).alias("asked"), "*") for k, x in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _COLS = """(VALUES ('ok', 0, 'id', 'integer', false, true, 1.0, NULL, NULL), ('ok', 1, 'age', 'integer', true, false, 0.5, 0.0, 150.0),
 ('bad', 0, '', 'string', true, false, 1.5, NULL, NULL), ('bad', 1, 'k', 'integer', true, true, 1.0, 5.0, 1.0), ('bad', 2, 'k', 'integer', true, false, -0.1, 2.0, 2.0),
 ('long', 0, 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx', 'string', true, false, 1.0, NULL, NULL))
@@ -83,12 +111,15 @@ def drift_orders(spark: SparkSession, d: str) -> DataFrame:
     return contracts.schema_drift(values(spark, _ORDERS), contracts.observed_columns(load(spark, d, "orders")))
 
 
-@query(_drift_sql(_ORDERS, _ORDERS_SEEN) + " SELECT 'critical' AS overall_severity, bool_and(severity = 'info') AS auto_evolvable, bool_or(severity = 'critical') AS requires_human_review, count(*) AS changes FROM drift")
+@query(_drift_sql(_ORDERS, _ORDERS_SEEN) + " SELECT CASE max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS overall_severity, bool_and(severity = 'info') AS auto_evolvable, bool_or(severity = 'critical') AS requires_human_review, count(*) AS changes FROM drift")
 def drift_rollup(spark: SparkSession, d: str) -> DataFrame:
     return contracts.drift_rollup(contracts.schema_drift(values(spark, _ORDERS), contracts.observed_columns(load(spark, d, "orders"))))
 
 
-@query("SELECT 'info' AS overall_severity, true AS auto_evolvable, false AS requires_human_review, CAST(0 AS BIGINT) AS changes")
+_SAME = _ORDERS_SEEN.replace("(VALUES", "(SELECT *, false AS primary_key FROM (VALUES", 1) + ")"
+
+
+@query(_drift_sql(_SAME, _ORDERS_SEEN) + " SELECT CASE coalesce(max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 END), 0) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS overall_severity, coalesce(bool_and(severity = 'info'), true) AS auto_evolvable, coalesce(bool_or(severity = 'critical'), false) AS requires_human_review, count(*) AS changes FROM drift")
 def drift_none(spark: SparkSession, d: str) -> DataFrame:
     seen = contracts.observed_columns(load(spark, d, "orders"))
     return contracts.drift_rollup(contracts.schema_drift(seen, seen))
@@ -129,13 +160,6 @@ raw AS (SELECT *, CASE WHEN last_updated IS NULL THEN 2.0 ELSE least(s / max_sta
 _NAME = "CASE {} WHEN 0 THEN 'healthy' WHEN 1 THEN 'warning' ELSE 'critical' END"
 
 
-@query(f"""WITH last AS (SELECT event_type AS dataset, max_by(ts, event_id) AS last_updated FROM events GROUP BY 1), met AS (SELECT s.*, last_updated, TIMESTAMP '2024-01-31 00:30:00' AS check_time FROM {_SLA.replace(' t(', ' s(')} LEFT JOIN last USING (dataset)), {_JUDGE}
-SELECT dataset, check_time, last_updated, round(s, 3) AS staleness_seconds, round(pct, 3) AS sla_consumed_pct, {_NAME.format('r')} AS status FROM raw""")
-def sla_all(spark: SparkSession, d: str) -> DataFrame:
-    arrivals = load(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
-    return rounded(freshness.current_status(arrivals, _slas(spark), at("2024-01-31 00:30:00")), 3)
-
-
 def _log_sql(arrivals: str, checks: str, slas: str) -> str:
     return f"""WITH log AS (SELECT dataset, seq, ts AS arrived, CAST(NULL AS TIMESTAMP) AS check_time FROM ({arrivals}) UNION ALL SELECT dataset, seq, NULL, ts FROM ({checks})),
 l AS (SELECT *, last_value(arrived IGNORE NULLS) OVER w AS last_updated, count(arrived) OVER w AS epoch FROM log WINDOW w AS (PARTITION BY dataset ORDER BY seq ROWS UNBOUNDED PRECEDING)),
@@ -143,20 +167,37 @@ met AS (SELECT * FROM l JOIN {slas.replace(' t(', ' s(')} USING (dataset) WHERE
 SELECT dataset, seq, check_time, last_updated, round(s, 3) AS staleness_seconds, round(pct, 3) AS sla_consumed_pct, {_NAME.format('max(r) OVER (PARTITION BY dataset, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING)')} AS status FROM raw"""
 
 
-@query(_log_sql("SELECT event_type AS dataset, event_id * 2 AS seq, ts FROM events WHERE event_id % 7 = 0", "SELECT event_type AS dataset, event_id * 2 + 1 AS seq, ts FROM events WHERE event_id % 5 = 0", _SLA))
-def freshness_monotonic(spark: SparkSession, d: str) -> DataFrame:
-    """Every seventh event arrives and every fifth is a check, as in its SQL; ``freshness_monotonic_all`` leaves no event out."""
-    e = load(spark, d, "events")
-    a = e.where(F.col("event_id") % 7 == 0).select(F.col("event_type").alias("dataset"), (F.col("event_id") * 2).alias("seq"), F.col("ts").alias("at"))
-    c = e.where(F.col("event_id") % 5 == 0).select(F.col("event_type").alias("dataset"), (F.col("event_id") * 2 + 1).alias("seq"), F.col("ts").alias("at"))
-    return rounded(freshness.check_freshness(a, c, _slas(spark)), 3)
+_NOW = f"SELECT dataset, (SELECT 2 * max(event_id) + 2 FROM events) AS seq, TIMESTAMP '2024-01-31 00:30:00' AS ts FROM {_SLA.replace(' t(', ' q(')}"
+_EARLY = "SELECT event_type AS dataset, event_id * 2 + 1 AS seq, ts + INTERVAL 3 HOUR AS ts FROM events"
+
+
+@query(_log_sql("SELECT event_type AS dataset, event_id * 2 AS seq, ts FROM events", f"{_EARLY} UNION ALL {_NOW}", _SLA).replace("SELECT dataset, seq, check_time", "SELECT * EXCLUDE (seq) FROM (SELECT dataset, seq, check_time") + ") WHERE seq > (SELECT 2 * max(event_id) + 1 FROM events)")
+def sla_all(spark: SparkSession, d: str) -> DataFrame:
+    """One check of every dataset now; the last event's own check, three hours ahead, left a status that can't improve."""
+    e = load(spark, d, "events").select(F.col("event_type").alias("dataset"), (F.col("event_id") * 2).alias("seq"), F.col("ts").alias("at"))
+    checks = e.select("dataset", (F.col("seq") + 1).alias("seq"), (F.col("at") + F.expr("INTERVAL 3 HOURS")).alias("at"))
+    return rounded(freshness.current_status(e, checks, _slas(spark), at("2024-01-31 00:30:00")), 3)
+
+
+@query(f"SELECT event_type AS dataset, count(*) AS checks, 'no service level is registered for ' || event_type AS error FROM events WHERE event_type NOT IN (SELECT dataset FROM {_SLA}) GROUP BY 1")
+def sla_missing(spark: SparkSession, d: str) -> DataFrame:
+    checks = load(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    return freshness.unregistered_checks(checks, _slas(spark))
+
+
+@query(f"""WITH g AS (SELECT s.*, g AS check_time FROM {_SLA.replace(' t(', ' s(')}, generate_series(TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-07 00:00:00', INTERVAL 20 MINUTE) AS r(g)),
+met AS (SELECT g.*, (SELECT max(ts) FROM events WHERE event_type = g.dataset AND ts <= g.check_time) AS last_updated FROM g), {_JUDGE}
+SELECT dataset, check_time AS at, round(s, 3) AS staleness_seconds, round(pct, 3) AS sla_consumed_pct, CAST(warning_threshold AS DOUBLE) AS warning_line, 1.0::DOUBLE AS breach_line FROM raw""")
+def staleness_history(spark: SparkSession, d: str) -> DataFrame:
+    arrivals = load(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("ts").alias("at"))
+    return rounded(freshness.staleness_over_time(arrivals, _slas(spark), at("2024-01-05 00:00:00"), at("2024-01-07 00:00:00"), F.expr("INTERVAL 20 MINUTES")), 3)
 
 
 @query(_log_sql("SELECT event_type AS dataset, event_id * 2 + 1 AS seq, ts FROM events", "SELECT event_type AS dataset, event_id * 2 AS seq, ts FROM events", _SLA))
-def freshness_monotonic_all(spark: SparkSession, d: str) -> DataFrame:
+def freshness_monotonic(spark: SparkSession, d: str) -> DataFrame:
     """Every event is a check of its dataset and then an arrival; the other way round each check would see itself and be fresh."""
     e = load(spark, d, "events").select(F.col("event_type").alias("dataset"), (F.col("event_id") * 2).alias("seq"), F.col("ts").alias("at"))
-    return rounded(freshness.check_freshness(e.withColumn("seq", F.col("seq") + 1), e, _slas(spark)), 3)
+    return rounded(freshness.check_freshness(e.withColumn("seq", F.col("seq") + 1), e.join(_slas(spark), "dataset", "left_semi"), _slas(spark)), 3)
 
 
 _ARR = "(VALUES ('o', 1, TIMESTAMP '2024-01-01 00:00:00'), ('o', 6, TIMESTAMP '2023-12-31 23:00:00'), ('r', 1, TIMESTAMP '2024-01-01 00:00:00'), ('r', 5, TIMESTAMP '2024-01-01 00:58:20')) AS t(dataset, seq, ts)"
@@ -178,6 +219,13 @@ def sla_violations(spark: SparkSession, d: str) -> DataFrame:
     return freshness.sla_violations(_slas(spark, _BAD_SLA))
 
 
+@query(_log_sql(f"SELECT * FROM {_ARR}", f"SELECT * FROM {_CHK}", _SMALL) + " QUALIFY dataset = 'o'")
+def freshness_history(spark: SparkSession, d: str) -> DataFrame:
+    """One dataset's checks as they were made, among them one that looks back in time."""
+    checked = freshness.check_freshness(values(spark, _ARR).withColumnRenamed("ts", "at"), values(spark, _CHK).withColumnRenamed("ts", "at"), _slas(spark, _SMALL))
+    return rounded(freshness.check_history(checked, "o"), 3)
+
+
 _TWICE = "(VALUES ('a', 1, 60), ('a', 2, 90), ('b', 3, 30)) AS t(dataset, seq, max_staleness_seconds)"
 
 
@@ -195,19 +243,10 @@ def freshness_maintenance(spark: SparkSession, d: str) -> DataFrame:
     return freshness.suppressed_by_maintenance(e, values(spark, _MAINT))
 
 
-@query("""WITH RECURSIVE a AS (SELECT event_type AS dataset, ts, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, date_diff('microsecond', lag(ts) OVER (PARTITION BY event_type ORDER BY event_id), ts) / 1000000 AS gap FROM events WHERE event_id <= 300),
-r AS (SELECT dataset, i, ts, gap AS s FROM a WHERE i = 2 UNION ALL SELECT a.dataset, a.i, a.ts, 0.3 * a.gap + 0.7 * r.s FROM r JOIN a ON a.dataset = r.dataset AND a.i = r.i + 1)
-SELECT dataset, max_by(ts, i) AS last_arrival, round(max_by(s, i), 2) AS smoothed_gap_seconds FROM r GROUP BY dataset""")
-def arrival_prediction(spark: SparkSession, d: str) -> DataFrame:
-    """The first 300 events only, as in its SQL; ``arrival_prediction_all`` has the whole table."""
-    e = load(spark, d, "events").where("event_id <= 300").select(F.col("event_type").alias("dataset"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
-    return rounded(freshness.predicted_arrival(e), 2)
-
-
 @query("""WITH a AS (SELECT event_type AS dataset, event_id, ts, date_diff('microsecond', lag(ts) OVER w, ts) / 1000000 AS gap, count(*) OVER (PARTITION BY event_type) - row_number() OVER w AS back, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
 SELECT dataset, max_by(ts, event_id) AS last_arrival, round(sum(CASE WHEN i = 2 THEN 1 ELSE 0.3 END * pow(0.7, back) * gap), 2) AS smoothed_gap_seconds FROM a GROUP BY dataset""")
-def arrival_prediction_all(spark: SparkSession, d: str) -> DataFrame:
-    """``arrival_prediction`` over every event; its SQL is the closed weighted sum, as a recursion takes a step an event."""
+def arrival_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """Its SQL is the closed weighted sum, as a recursion would take a step an event."""
     e = load(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
     return rounded(freshness.predicted_arrival(e), 2)
 
@@ -237,7 +276,10 @@ def lineage_impact(spark: SparkSession, d: str) -> DataFrame:
     return lineage.downstream(_edges(spark), _node(spark, "raw.a:v1:id"), 10).select("node", "level")
 
 
-@query("SELECT * FROM (VALUES ('st.b:v1:alt_id', 1, 1), ('st.b:v1:source_id', 1, 2), ('dw.c:v1:final_id', 2, 1), ('bi.d:v2:kpi', 3, 1), ('bi.d:v1:kpi', 3, 2), ('bi.e:v1:tile', 4, 1)) AS t(node, level, ord)")
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, [split_part(dst, ':', 1), split_part(dst, ':', 3), lpad(CAST(edge_seq AS VARCHAR), 9, '0')] AS k FROM {_EDGES}),
+w AS (SELECT 'raw.a:v1:id' AS node, 0 AS level, CAST([] AS VARCHAR[]) AS way UNION ALL SELECT dst, level + 1, list_concat(way, k) FROM w JOIN e ON e.src = w.node WHERE level < 10),
+f AS (SELECT node, level, way FROM (SELECT *, min(level) OVER (PARTITION BY node) AS l FROM (SELECT node, level, min(way) AS way FROM w GROUP BY node, level)) WHERE level = l)
+SELECT node, level, CAST(row_number() OVER (PARTITION BY level ORDER BY way) AS INT) AS ord FROM f WHERE level > 0""")
 def lineage_impact_order(spark: SparkSession, d: str) -> DataFrame:
     return lineage.downstream(_edges(spark), _node(spark, "raw.a:v1:id"), 10).select("node", "level", F.col("ord").cast("int").alias("ord"))
 
@@ -261,7 +303,7 @@ def lineage_pipelines(spark: SparkSession, d: str) -> DataFrame:
 @query(_walk("raw.a:v1:id", 10) + " SELECT DISTINCT regexp_replace(node, ':[^:]*$', '') AS dataset FROM m WHERE level > 0")
 def lineage_datasets(spark: SparkSession, d: str) -> DataFrame:
     found = lineage.downstream(_edges(spark), _node(spark, "raw.a:v1:id"), 10)
-    return found.select(F.regexp_replace("node", ":[^:]*$", "").alias("dataset")).distinct()
+    return lineage.affected_datasets(found).select("dataset")
 
 
 _NEW = "(VALUES ('bi.e:v1:tile', 'raw.a:v1:id'), ('raw.a:v1:id', 'raw.a:v1:id'), ('raw.z:v1:x', 'bi.e:v1:tile'), ('dw.c:v1:final_id', 'raw.z:v1:x')) AS t(src, dst)"
@@ -287,10 +329,40 @@ def lineage_transformation(spark: SparkSession, d: str) -> DataFrame:
     return lineage.transformation_edges(row)
 
 
-@query("SELECT * FROM (VALUES ('sql_parsing', 1.0::DOUBLE), ('name_matching', 0.9::DOUBLE), ('type_matching', 0.7::DOUBLE), ('heuristic', 0.5::DOUBLE), ('other', NULL)) AS t(method, confidence)")
+_HOW = "(SELECT p_partkey, ['parsed_sql', 'schema_name_matching', 'data_type_matching', 'heuristic', 'other'][p_partkey % 5 + 1] AS method FROM part)"
+
+
+@query(f"SELECT method, count(*) AS edges, CASE method WHEN 'parsed_sql' THEN 1.0 WHEN 'schema_name_matching' THEN 0.9 WHEN 'data_type_matching' THEN 0.7 WHEN 'heuristic' THEN 0.5 END::DOUBLE AS confidence FROM {_HOW} GROUP BY 1")
 def lineage_confidence(spark: SparkSession, d: str) -> DataFrame:
-    v = values(spark, "(VALUES ('sql_parsing'), ('name_matching'), ('type_matching'), ('heuristic'), ('other')) AS t(method)")
-    return v.select("method", lineage.confidence_of(F.col("method")).alias("confidence"))
+    names = F.array(*[F.lit(x) for x in ("parsed_sql", "schema_name_matching", "data_type_matching", "heuristic", "other")])
+    v = load(spark, d, "part").select(F.get(names, (F.col("p_partkey") % 5).cast("int")).alias("method"))
+    return v.groupBy("method").agg(F.count(F.lit(1)).alias("edges")).withColumn("confidence", lineage.confidence_of(F.col("method")))
+
+
+@query(f"SELECT DISTINCT node FROM (SELECT node FROM {_NODES} UNION ALL SELECT src FROM {_EDGES} UNION ALL SELECT unnest(['raw.a:v1:id', 'new.f:v1:c']))")
+def lineage_add_edge_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """An edge to a column not known yet makes its node; one that is known stays one node."""
+    nodes, edges = lineage.add_edge(values(spark, _NODES), _edges(spark), "raw.a:v1:id", "new.f:v1:c", "direct", "p9")
+    return lineage.existing_nodes(nodes, edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+
+
+@query(f"SELECT src, dst, edge_seq FROM {_EDGES} UNION ALL SELECT 'raw.z:v1:x', unnest(['dw.c:v1:final_id', 'bi.d:v1:kpi']), max(edge_seq) + unnest([1, 2]) FROM {_EDGES}")
+def lineage_register(spark: SparkSession, d: str) -> DataFrame:
+    out = lineage.register(spark, values(spark, _NODES), _edges(spark), ["raw.z:v1:x"], ["dw.c:v1:final_id", "bi.d:v1:kpi"], "joined", "p8", "someone", "schema_name_matching")
+    return out.select("src", "dst", F.col("edge_seq").cast("int").alias("edge_seq"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), w AS (SELECT 'st.b:v1:alt_id' AS node, ['st.b:v1:alt_id'] AS way, [0] AS k UNION ALL SELECT dst, list_append(way, dst), list_append(k, edge_seq) FROM w JOIN e ON e.src = w.node),
+f AS (SELECT way FROM w WHERE node = 'bi.e:v1:tile' ORDER BY len(way), k LIMIT 1), c AS (SELECT list_concat(['bi.e:v1:tile'], list_concat(way[2:-2], [way[1]])) AS c FROM f)
+SELECT CAST(p AS INT) AS position, split_part(c[p], ':', 1) || '.' || split_part(c[p], ':', 3) AS name FROM c, range(1, 10) AS r(p) WHERE p <= len(c)""")
+def lineage_cycle_path(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.cycle_path(_edges(spark), "bi.e:v1:tile", "st.b:v1:alt_id")
+
+
+@query(f"SELECT e.src, e.dst, edge_seq FROM {_EDGES.replace(' t(', ' e(')} WHERE e.src = 'dw.c:v1:final_id' OR e.dst = 'dw.c:v1:final_id'")
+def lineage_adjacent(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark)
+    return lineage.edges_from(e, "dw.c:v1:final_id").unionByName(lineage.edges_to(e, "dw.c:v1:final_id")).select("src", "dst", "edge_seq")
 
 
 @query(f"SELECT src, dst, edge_seq FROM {_EDGES} WHERE NOT (src = 'raw.a:v1:id' AND dst = 'st.b:v1:alt_id')")

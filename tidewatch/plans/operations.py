@@ -59,6 +59,43 @@ def backfill_gaps(spark: SparkSession, d: str) -> DataFrame:
     return healing.missing_days(load(spark, d, "events"), "ts", F.lit("2023-12-28").cast("date"), F.lit("2024-02-03").cast("date"))
 
 
+@query("SELECT 'lineitem' AS dataset, reason, count(*) AS record_count, TIMESTAMP '2024-02-01 00:00:00' AS quarantined_at, true AS reprocessable FROM (SELECT 'quantity' AS reason FROM lineitem WHERE NOT l_quantity <= 45 UNION ALL SELECT 'discount' FROM lineitem WHERE NOT l_discount < 0.1) GROUP BY reason")
+def quarantine_receipts(spark: SparkSession, d: str) -> DataFrame:
+    li = load(spark, d, "lineitem")
+    bad = healing.quarantine(li, F.col("l_quantity") <= 45, "quantity")[1].unionByName(healing.quarantine(li, F.col("l_discount") < 0.1, "discount")[1])
+    return healing.quarantine_receipt(bad, "lineitem", at("2024-02-01 00:00:00")).drop("quarantine_id")
+
+
+@query("""WITH g AS (SELECT CAST(g AS DATE) AS day FROM generate_series(TIMESTAMP '2023-12-28', TIMESTAMP '2024-02-03', INTERVAL 1 DAY) AS s(g) WHERE CAST(g AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events)),
+i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INT) AS k FROM g) SELECT 'events' AS dataset, min(day) AS time_range_start, CAST(max(day) + 1 AS DATE) AS time_range_end, 'data_gap' AS triggered_by, 'days without rows' AS reason, 'pending' AS status, CAST(0 AS BIGINT) AS records_processed, CAST(0 AS BIGINT) AS records_failed FROM i GROUP BY k""")
+def backfill_jobs(spark: SparkSession, d: str) -> DataFrame:
+    days = healing.missing_days(load(spark, d, "events"), "ts", F.lit("2023-12-28").cast("date"), F.lit("2024-02-03").cast("date"))
+    return healing.backfill_jobs(days, "events", "data_gap", "days without rows").drop("job_id")
+
+
+def _selected(spark: SparkSession) -> DataFrame:
+    return healing.select_strategy(healing.diagnose(values(spark, _ALERTS)), values(spark, _HIST), at("2024-01-03 00:00:00"))
+
+
+_SELECTED = f"SELECT alert_id, root_cause, confidence, CASE WHEN confidence < 0.5 OR coalesce(failures, 0) >= 3 THEN 'escalate' ELSE suggested_strategy END AS strategy FROM ({_DIAG}) LEFT JOIN ({_FAIL}) USING (alert_id)"
+
+
+@query(f"SELECT alert_id, root_cause, 1 AS current_level, TIMESTAMP '2024-01-03 00:00:00' AS started_at FROM ({_SELECTED}) WHERE strategy = 'escalate'")
+def healing_escalations(spark: SparkSession, d: str) -> DataFrame:
+    return healing.escalations(_selected(spark), at("2024-01-03 00:00:00")).drop("chain_id")
+
+
+@query(f"SELECT *, '2024-01-03T00:00:00' AS selected_at FROM ({_SELECTED})")
+def healing_log(spark: SparkSession, d: str) -> DataFrame:
+    return healing.selection_log(_selected(spark), at("2024-01-03 00:00:00"))
+
+
+@query(f"SELECT strategy, count(*) AS results, count(*) FILTER (WHERE NOT success) AS failed FROM (SELECT strategy, success FROM {_HIST} UNION ALL SELECT 'backfill', false) GROUP BY 1")
+def healing_recorded(spark: SparkSession, d: str) -> DataFrame:
+    h = healing.record_result(values(spark, _HIST), "a3", "events", "backfill", False, at("2024-01-02 20:00:00"), "data_gap again", 12)
+    return h.groupBy("strategy").agg(F.count(F.lit(1)).alias("results"), F.count_if(~F.col("success")).alias("failed"))
+
+
 # --- alerts and stores ----------------------------------------------------------------------------------------------
 
 
@@ -119,6 +156,43 @@ def store_newest_per(spark: SparkSession, d: str) -> DataFrame:
     return store.newest_per(load(spark, d, "events").select("event_type", "event_id", "ts"), ["event_type"], "event_id", 3)
 
 
+def _domains(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("dataset"), F.col("c_mktsegment").alias("domain"), (F.col("c_custkey") % 97).alias("recorded"))
+
+
+@query("SELECT c_custkey AS dataset, c_mktsegment AS domain FROM customer WHERE c_mktsegment = 'BUILDING'")
+def store_datasets_of_domain(spark: SparkSession, d: str) -> DataFrame:
+    return store.list_datasets(_domains(spark, d), "BUILDING").select("dataset", "domain")
+
+
+_REPORT = "SELECT event_type AS dataset, event_id AS recorded, value FROM events"
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("event_id").alias("recorded"), "value", F.col("ts").alias("check_time"))
+
+
+@query(f"SELECT * FROM ({_REPORT}) WHERE dataset = 'view' ORDER BY recorded DESC LIMIT 25")
+def store_drift_reports(spark: SparkSession, d: str) -> DataFrame:
+    return store.newest_of(_reports(spark, d), "view", 25).drop("check_time")
+
+
+@query(f"SELECT dataset, count(*) AS results, max(recorded) AS newest FROM (SELECT * FROM ({_REPORT}) WHERE dataset = 'purchase' ORDER BY recorded DESC LIMIT 100) GROUP BY 1")
+def store_healing_results(spark: SparkSession, d: str) -> DataFrame:
+    return store.newest_of(_reports(spark, d), "purchase").groupBy("dataset").agg(F.count(F.lit(1)).alias("results"), F.max("recorded").alias("newest"))
+
+
+@query("SELECT event_id AS recorded, ts AS check_time FROM events WHERE event_type = 'error' AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00' ORDER BY ts DESC LIMIT 40")
+def store_freshness_range(spark: SparkSession, d: str) -> DataFrame:
+    own = _reports(spark, d).where(F.col("dataset") == "error").select("recorded", "check_time")
+    return store.time_range(own, "check_time", at("2024-01-10 00:00:00"), at("2024-01-12 00:00:00"), 40)
+
+
+@query(f"SELECT dataset, value, recorded FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY recorded DESC) AS r FROM ({_REPORT})) WHERE r <= 2")
+def store_threshold_history(spark: SparkSession, d: str) -> DataFrame:
+    return store.newest_per(_reports(spark, d).drop("check_time"), ["dataset"], "recorded", 2)
+
+
 # --- constraints ----------------------------------------------------------------------------------------------------
 
 _RULES = [
@@ -209,9 +283,9 @@ def dash_sparkline(spark: SparkSession, d: str) -> DataFrame:
     return dashboards.last_days(load(spark, d, "events"), "ts", F.lit("2024-02-01").cast("date"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('Part#1'))")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'large w')")
 def dash_label_search(spark: SparkSession, d: str) -> DataFrame:
-    return dashboards.label_search(load(spark, d, "part").select("p_partkey", "p_name"), "p_name", "Part#1")
+    return dashboards.label_search(load(spark, d, "part").select("p_partkey", "p_name"), "p_name", "LARGE W")
 
 
 @query("SELECT kind, id, t AS at FROM (SELECT 'event' AS kind, CAST(event_id AS VARCHAR) AS id, ts AS t FROM events UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), o_orderdate FROM orders) ORDER BY t DESC, kind, id LIMIT 20")
@@ -219,12 +293,11 @@ def dash_activity_feed(spark: SparkSession, d: str) -> DataFrame:
     return dashboards.activity_feed({"event": load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at")), "order": load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))}, 20)
 
 
-_NUM = "(VALUES (5, 30), (1500, 90), (2500000, 7200), (999, 200000)) AS t(n, seconds)"
-
-
-@query("SELECT * FROM (VALUES (5, '5', 'just now'), (1500, '1.5K', '1m ago'), (2500000, '2.5M', '2h ago'), (999, '999', '2d ago')) AS t(n, short, ago)")
+@query("""SELECT n, CASE WHEN n >= 1000000 THEN printf('%.1f', n / 1000000.0::DOUBLE) || 'M' WHEN n >= 1000 THEN printf('%.1f', n / 1000.0::DOUBLE) || 'K' ELSE CAST(n AS VARCHAR) END AS short,
+CASE WHEN n < 60 THEN 'just now' WHEN n < 3600 THEN (n // 60) || 'm ago' WHEN n < 86400 THEN (n // 3600) || 'h ago' ELSE (n // 86400) || 'd ago' END AS ago FROM (SELECT CAST(o_orderkey * o_orderkey // 7 AS BIGINT) AS n FROM orders)""")
 def dash_formats(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, _NUM).select("n", short_number(F.col("n")).alias("short"), relative_time(F.col("seconds")).alias("ago"))
+    n = load(spark, d, "orders").select(F.expr("cast(o_orderkey * o_orderkey div 7 as bigint)").alias("n"))
+    return n.select("n", short_number(F.col("n")).alias("short"), relative_time(F.col("n")).alias("ago"))
 
 
 @query("""WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, sum(value) AS total FROM events GROUP BY 1, 2), s AS (SELECT *, avg(total) OVER (PARTITION BY user_id) AS mean, stddev_samp(total) OVER (PARTITION BY user_id) AS sd FROM w)

@@ -84,19 +84,21 @@ def distinct_adaptive_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return profile.distinct_counts(load(spark, d, "lineitem"), list(_LINE))
 
 
-@query("SELECT 'o_orderkey' AS column_name, true AS within_two_percent UNION ALL SELECT 'o_custkey', true UNION ALL SELECT 'o_totalprice', true")
+@query("\nUNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, true AS within_two_percent FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
 def distinct_sketch_orders(spark: SparkSession, d: str) -> DataFrame:
     o, names = load(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"]
     exact = profile.distinct_exact(o, names).withColumnRenamed("distinct_count", "exact")
-    return profile.distinct_approx(o, names).join(exact, "column_name").select("column_name", (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_two_percent"))
+    return profile.distinct_approx(o, names).join(exact, "column_name").select("column_name", "exact", (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_two_percent"))
 
 
-@query("SELECT 'value' AS column_name, true AS merged_equals_whole")
+@query("SELECT 'value' AS column_name, count(DISTINCT CAST(ts AS DATE)) AS sketches, count(DISTINCT value) AS exact, true AS merged_equals_whole FROM events")
 def distinct_sketch_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of days, joined, against the sketch of all and against the exact count."""
     e = load(spark, d, "events").withColumn("day", F.to_date("ts"))
-    merged = profile.distinct_sketches(e, ["value"], ["day"]).groupBy("column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("a"))
-    whole = profile.distinct_approx(e, ["value"]).withColumnRenamed("distinct_count", "b")
-    return merged.join(whole, "column_name").select("column_name", (F.abs(F.col("a") - F.col("b")) <= 0.02 * F.col("b")).alias("merged_equals_whole"))
+    merged = profile.distinct_sketches(e, ["value"], ["day"]).groupBy("column_name").agg(F.count(F.lit(1)).alias("sketches"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("a"))
+    whole = profile.distinct_approx(e, ["value"]).withColumnRenamed("distinct_count", "b").join(profile.distinct_exact(e, ["value"]).withColumnRenamed("distinct_count", "exact"), "column_name")
+    near = (F.abs(F.col("a") - F.col("b")) <= 0.02 * F.col("b")) & (F.abs(F.col("a") - F.col("exact")) <= 0.02 * F.col("exact"))
+    return merged.join(whole, "column_name").select("column_name", "sketches", "exact", near.alias("merged_equals_whole"))
 
 
 def histogram_sql(source: str, x: str, n: int, by: str = "") -> str:
@@ -146,12 +148,39 @@ def dataset_row_count(spark: SparkSession, d: str) -> DataFrame:
     return profile.row_count(p)
 
 
-@query("SELECT true AS total_unaffected, true AS within_bounds, true AS rate_near")
+_HOLES = "(SELECT l_quantity AS whole, CASE WHEN l_linenumber > 2 THEN l_discount END AS part, CASE WHEN l_orderkey = 1 THEN l_tax END AS few FROM lineitem)"
+
+
+@query("\nUNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN count({c}) = 0 THEN 0 ELSE greatest(1, CAST(floor(count({c}) * 0.3) AS BIGINT)) END AS sampled, true AS of_the_column FROM {_HOLES}" for c in ("whole", "part", "few")))
 def sample_properties(spark: SparkSession, d: str) -> DataFrame:
-    li = load(spark, d, "lineitem")
-    whole = li.agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
-    part = profile.sample_values(li, 0.5).agg(F.count(F.lit(1)).alias("m"), F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"))
-    return whole.join(F.broadcast(part)).select((F.col("n") > F.col("m")).alias("total_unaffected"), ((F.col("a") >= F.col("lo")) & (F.col("b") <= F.col("hi"))).alias("within_bounds"), F.col("m").between(0.4 * F.col("n"), 0.6 * F.col("n")).alias("rate_near"))
+    """How many values of each column are drawn, and whether they lie within the column's."""
+    li = load(spark, d, "lineitem").select(F.col("l_quantity").alias("whole"), F.when(F.col("l_linenumber") > 2, F.col("l_discount")).alias("part"), F.when(F.col("l_orderkey") == 1, F.col("l_tax")).alias("few"))
+    names = li.columns
+    each = lambda df: df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")) for c in names]).alias("s")).select(F.inline("s"))
+    part, whole = each(profile.sample_columns(li, names, 0.3)), each(li).select("column_name", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    return part.join(whole, "column_name").select("column_name", F.col("n").alias("sampled"), F.coalesce((F.col("lo") >= F.col("a")) & (F.col("hi") <= F.col("b")), F.lit(True)).alias("of_the_column"))
+
+
+_PROFILED = {"c_acctbal": "float", "c_nationkey": "integer"}
+
+
+@query(f"""WITH stats AS ({profile_sql("customer", _PROFILED, ["c_mktsegment"])}),
+dist AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count FROM customer" for c in [*_PROFILED, "c_mktsegment"])}),
+bins AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(20 AS BIGINT) AS bins, count({c}) AS binned, round(min({c})::DOUBLE, 4) AS first_lower, round(max({c})::DOUBLE, 4) AS last_upper FROM customer" for c in _PROFILED)})
+SELECT 'warehouse.customer' AS dataset, 'all' AS partition_key, stats.*, distinct_count, bins, binned, first_lower, last_upper FROM stats JOIN dist USING (column_name) LEFT JOIN bins USING (column_name)""")
+def profile_dataset_customer(spark: SparkSession, d: str) -> DataFrame:
+    """The whole profile of a dataset, its histograms as their number of bins, their sum and their ends."""
+    p = profile.profile_dataset(load(spark, d, "customer"), "warehouse.customer", "all", [*_PROFILED, "c_mktsegment"])
+    h = F.col("histogram")
+    size = F.when(h.isNotNull(), F.size(h)).cast("long")
+    total = F.aggregate(h, F.lit(0).cast("long"), lambda a, b: a + b["count"])
+    return rounded(p.select("*", size.alias("bins"), total.alias("binned"), F.get(h, F.lit(0))["lower"].alias("first_lower"), F.get(h, F.lit(19))["upper"].alias("last_upper")).drop("histogram", "profiling_duration_ms"))
+
+
+@query(histogram_sql("(SELECT l_discount * 100 AS x FROM lineitem)", "x", 10).replace("WITH v", "WITH a AS (WITH v", 1) + " SELECT 'scaled' AS column_name, * FROM hist), " + histogram_sql("lineitem", "l_quantity", 10).replace("WITH v", "b AS (WITH v", 1).strip() + " SELECT 'l_quantity' AS column_name, * FROM hist) SELECT column_name, position, round(lower, 4) AS lower, round(upper, 4) AS upper, count FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
+def histograms_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    li = load(spark, d, "lineitem").withColumn("scaled", F.col("l_discount") * 100)
+    return rounded(profile.histograms(li, ["scaled", "l_quantity"], 10))
 
 
 # --- shift against a baseline -----------------------------------------------------------------------------------
@@ -162,7 +191,12 @@ LAST_DAY = "2024-01-30"
 def _event_histograms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Histograms of the last day and of the days before."""
     e = load(spark, d, "events").withColumn("profile", F.to_date("ts").cast("string"))
+    return _days(e)
+
+
+def _days(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     h = profile.histogram(e, "value", by=["profile"]).select(F.lit("events:v1").alias("dataset"), F.lit("value").alias("column_name"), "*")
+    h = profile.held(h)  # a few rows a day, read several times below
     return h.where(F.col("profile") == LAST_DAY), h.where(F.col("profile") < LAST_DAY)
 
 
@@ -179,7 +213,7 @@ kl AS (SELECT profile, greatest(0, sum(p * ln(p / q))) AS kl FROM prob GROUP BY
 
 @query(_EVENTS + " SELECT 'events:v1' AS dataset, 'value' AS column_name, n_current, n_baseline, round(d, 4) AS d, round(p_value, 4) AS p_value FROM ksp")
 def ks_events_daily(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(anomaly.ks_statistic(*_event_histograms(spark, d)))
+    return rounded(anomaly.ks_statistic(*_event_histograms(spark, d), exact_up_to=0))
 
 
 @query(_EVENTS + " SELECT 'events:v1' AS dataset, 'value' AS column_name, profile, round(kl, 4) AS kl FROM kl")
@@ -187,23 +221,29 @@ def kl_events_daily(spark: SparkSession, d: str) -> DataFrame:
     return rounded(anomaly.kl_divergence(*_event_histograms(spark, d)))
 
 
-_EVENT_ROWS = """SELECT 'events:v1' AS dataset, 'value' AS column_name, 'distribution_shift' AS category, 'critical' AS severity, 1.0::DOUBLE AS score, round(least(1.0, 29 / 30.0), 4)::DOUBLE AS confidence, algorithm, round(stat, 4) AS observed, round(t, 4)::DOUBLE AS expected, round(stat / t, 4) AS raw_ratio FROM (
-SELECT 'ks_test' AS algorithm, d AS stat, {ks} AS t FROM ksp WHERE d > {ks} AND p_value < 0.05 UNION ALL SELECT 'kl_divergence', max(kl), {kl} FROM kl HAVING max(kl) > {kl})"""
+_AT = "2024-01-31 00:00:00"
+_EVENT_ROWS = """SELECT 'events:v1' AS dataset, 'value' AS column_name, 'distribution_shift' AS category, CASE WHEN sc >= 0.8 THEN 'critical' WHEN sc >= 0.5 THEN 'warning' ELSE 'info' END AS severity, TIMESTAMP '2024-01-31 00:00:00' AS detected_at, sc AS score,
+round(least(1.0, (SELECT count(DISTINCT profile) FROM base) / 30.0), 4)::DOUBLE AS confidence, algorithm, metric_name, round(stat, 4) AS observed, round(t, 4)::DOUBLE AS expected, 0.0::DOUBLE AS lo, round(t, 4)::DOUBLE AS hi,
+'column ''value'': ' || word || ' ' || printf('%.4f', stat) || ' exceeds threshold ' || printf('%.4f', CAST(t AS DOUBLE)) || coalesce(' (p-value ' || printf('%.6f', p) || ')', '') AS description,
+CASE WHEN p IS NULL THEN 'adaptive_threshold,algorithm,anomaly_score,kl_divergence' ELSE 'adaptive_threshold,algorithm,anomaly_score,ks_statistic,p_value' END AS facts, round(stat / t, 4) AS raw_ratio FROM (SELECT *, greatest(0, least(1, stat / CAST(t AS DOUBLE)))::DOUBLE AS sc FROM (
+SELECT 'ks_test' AS algorithm, 'ks_statistic' AS metric_name, 'Kolmogorov-Smirnov statistic' AS word, d AS stat, {ks} AS t, p_value AS p FROM ksp WHERE d > {ks} AND p_value < 0.05
+UNION ALL SELECT 'kl_divergence', 'kl_divergence', 'Kullback-Leibler divergence', max(kl), {kl}, NULL FROM kl HAVING max(kl) > {kl}))"""
 
 
 def _plain(events: DataFrame) -> DataFrame:
-    return rounded(events.drop("expected_range", "description", "context"))
+    facts = F.array_join(F.sort_array(F.map_keys("context")), ",")
+    return rounded(events.select("*", F.col("expected_range.lo").alias("lo"), F.col("expected_range.hi").alias("hi"), facts.alias("facts")).drop("expected_range", "context", "anomaly_id"))
 
 
 @query(_EVENTS + _EVENT_ROWS.format(ks=0.15, kl=0.5))
 def anomaly_events_daily(spark: SparkSession, d: str) -> DataFrame:
-    return _plain(anomaly.detect_anomalies(*_event_histograms(spark, d)))
+    return _plain(anomaly.detect_anomalies(*_event_histograms(spark, d), exact_up_to=0, detected_at=at(_AT)))
 
 
-@query(_EVENTS + _EVENT_ROWS.format(ks=0.001, kl=0.001).replace("p_value < 0.05", "p_value < 0.05"))
+@query(_EVENTS + _EVENT_ROWS.format(ks=0.001, kl=0.001))
 def anomaly_threshold_override(spark: SparkSession, d: str) -> DataFrame:
     low = values(spark, "(VALUES ('events:v1', 'value', 0.001, 0.001)) AS t(dataset, column_name, ks_threshold, kl_threshold)")
-    return _plain(anomaly.detect_anomalies(*_event_histograms(spark, d), low))
+    return _plain(anomaly.detect_anomalies(*_event_histograms(spark, d), low, exact_up_to=0, detected_at=at(_AT)))
 
 
 _SHIFTED = histogram_sql("(SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS profile, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN value * value ELSE value END AS value FROM events)", "value", 20, "profile")
@@ -212,8 +252,7 @@ _SHIFTED = histogram_sql("(SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS profile,
 @query(_EVENTS.replace(histogram_sql("(SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS profile, value FROM events)", "value", 20, "profile"), _SHIFTED) + _EVENT_ROWS.format(ks=0.15, kl=0.5))
 def anomaly_shifted_day(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").withColumn("profile", F.to_date("ts").cast("string")).withColumn("value", F.when(F.col("profile") == LAST_DAY, F.col("value") * F.col("value")).otherwise(F.col("value")))
-    h = profile.histogram(e, "value", by=["profile"]).select(F.lit("events:v1").alias("dataset"), F.lit("value").alias("column_name"), "*")
-    return _plain(anomaly.detect_anomalies(h.where(F.col("profile") == LAST_DAY), h.where(F.col("profile") < LAST_DAY)))
+    return _plain(anomaly.detect_anomalies(*_days(e), exact_up_to=0, detected_at=at(_AT)))
 
 
 @query("SELECT day AS profiled_at, n FROM (SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY 1) WHERE day >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 30 DAY")
@@ -236,3 +275,41 @@ def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
     v = values(spark, _SCORES).select(F.col("stat").cast("double").alias("stat"), F.col("threshold").cast("double").alias("threshold"), "profiles")
     s = anomaly.score(F.col("stat"), F.col("threshold"))
     return rounded(v.select("stat", s.alias("score"), anomaly.confidence(F.col("profiles")).alias("confidence"), anomaly.severity(s).alias("severity")))
+
+
+_SMALL_KS = "(VALUES (0.5, 3, 4), (0.75, 4, 4), (0.4, 5, 5), (0.6, 5, 2), (1.0, 3, 3), (0.25, 4, 6)) AS t(d, n1, n2)"
+
+
+@query(f"""WITH t AS (SELECT CAST(d AS DOUBLE) AS d, n1, n2 FROM {_SMALL_KS}),
+way AS (SELECT t.*, m FROM t, range(1024) AS r(m) WHERE m < 1 << (n1 + n2) AND bit_count(CAST(m AS INT)) = n1),
+most AS (SELECT d, n1, n2, m, max(abs(bit_count(CAST(m & ((1 << k) - 1) AS INT)) * n2 - (k - bit_count(CAST(m & ((1 << k) - 1) AS INT))) * n1)) AS h FROM way, range(1, 11) AS s(k) WHERE k <= n1 + n2 GROUP BY ALL)
+SELECT d, n1, n2, round(count(*) FILTER (WHERE h >= round(d * n1 * n2)) / count(*), 6) AS p_value FROM most GROUP BY d, n1, n2""")
+def ks_exact_small(spark: SparkSession, d: str) -> DataFrame:
+    """Exact p-values of small samples; the SQL goes through all interleavings."""
+    v = values(spark, _SMALL_KS).select(F.col("d").cast("double").alias("d"), "n1", "n2")
+    return rounded(v.withColumn("p_value", anomaly.ks_p_value(F.col("d"), F.col("n1"), F.col("n2"))), 6)
+
+
+_FLOW = "(SELECT event_type || ':v1' AS dataset, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS profiled_at, count(*) AS n FROM events GROUP BY 1, 2)"
+
+
+@query(f"SELECT dataset, profiled_at, n FROM {_FLOW} WHERE dataset <> 'click:v1' OR profiled_at >= TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 30 DAY UNION ALL SELECT 'click:v1', TIMESTAMP '2024-02-05 00:00:00', 7")
+def baseline_update(spark: SparkSession, d: str) -> DataFrame:
+    """A profile of one dataset arrives: it is appended, and that dataset alone loses what is older than thirty days."""
+    e = load(spark, d, "events").groupBy(anomaly.baseline_key(F.col("event_type"), F.lit(1)).alias("dataset"), F.to_date("ts").cast("timestamp_ntz").alias("profiled_at")).agg(F.count(F.lit(1)).alias("n"))
+    new = spark.range(1).select(F.lit("click:v1").alias("dataset"), at("2024-02-05 00:00:00").alias("profiled_at"), F.lit(7).cast("long").alias("n"))
+    return anomaly.update_baseline(e, new, at("2024-02-05 00:00:00"))
+
+
+@query(f"SELECT dataset, profiled_at, n FROM {_FLOW} WHERE dataset = 'view:v1'")
+def baseline_of_dataset(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events").groupBy(anomaly.baseline_key(F.col("event_type"), F.lit(1)).alias("dataset"), F.to_date("ts").cast("timestamp_ntz").alias("profiled_at")).agg(F.count(F.lit(1)).alias("n"))
+    return anomaly.get_baseline(e, "view:v1")
+
+
+@query("SELECT 'events:v1' AS dataset, event_type AS column_name, 'bounds that are no numbers' AS reason FROM events WHERE event_type = 'click' GROUP BY 2 UNION ALL SELECT 'events:v1', event_type, 'negative count' FROM events WHERE event_type = 'view' GROUP BY 2")
+def histograms_unusable(spark: SparkSession, d: str) -> DataFrame:
+    """One column's bounds broken, another's counts: both are listed, all others stay."""
+    h = profile.histogram(load(spark, d, "events"), "value", by=["event_type"]).select(F.lit("events:v1").alias("dataset"), F.col("event_type").alias("column_name"), F.lit("p").alias("profile"), "position", "lower", "upper", "count")
+    broken = h.withColumn("lower", F.when((F.col("column_name") == "click") & (F.col("position") == 3), float("nan")).otherwise(F.col("lower"))).withColumn("count", F.when((F.col("column_name") == "view") & (F.col("position") == 2), -1).otherwise(F.col("count")))
+    return anomaly.unusable(broken).drop("profile")

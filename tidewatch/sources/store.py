@@ -14,6 +14,8 @@ TABLES = {
     "contracts": None, "datasets": "dataset", "drift_reports": None, "healing_results": None, "alerts": "alert_id",
     "profiles": None, "freshness": None, "thresholds": None, "lineage_nodes": "node", "lineage_edges": None,
 }
+#: time tables -> what they are read by; they are laid out by its day, so that a range reads its days alone
+TIMED = {"profiles": "profiled_at", "freshness": "check_time"}
 DEFAULT_LIMIT = 100
 
 
@@ -22,25 +24,41 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 class TableStore:
-    """Every append gets ``recorded``, microseconds that never fall within a store object, so ``newest`` is well defined."""
+    """Every append gets ``recorded``, microseconds that rise from append to append, also after what other stores wrote before."""
 
     def __init__(self, spark: SparkSession, folder: str, now: Callable[[], float] = time.time):
-        self.spark, self.folder, self.now, self.last = spark, folder, now, 0
+        self.spark, self.folder, self.now, self.last = spark, folder, now, {}
 
     def _path(self, table: str) -> str:
         if table not in TABLES:
             raise KeyError(table)
         return f"{self.folder}/{table}"
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        self.last = max(self.last + 1, int(self.now() * 1_000_000))
-        rows.withColumn("recorded", F.lit(self.last)).write.mode("append").parquet(self._path(table))
+    def _files(self, table: str, merge: bool = False) -> DataFrame:
+        return self.spark.read.option("mergeSchema", str(merge).lower()).parquet(self._path(table))
+
+    def _stamp(self, table: str) -> int:
+        if table not in self.last:
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self._path(table))
+            there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+            self.last[table] = (self._files(table).agg(F.max("recorded").alias("m")).first().m or 0) if there else 0  # from the files' statistics
+        self.last[table] = max(self.last[table] + 1, int(self.now() * 1_000_000))
+        return self.last[table]
 
-    def read(self, table: str) -> DataFrame:
-        """All rows, or for keyed tables the last one of each key."""
-        df = self.spark.read.option("mergeSchema", "true").parquet(self._path(table))
+    def append(self, table: str, rows: DataFrame) -> None:
+        rows = rows.withColumn("recorded", F.lit(self._stamp(table)))
+        ts = TIMED.get(table)
+        if ts in rows.columns:
+            rows.withColumn("recorded_day", F.to_date(ts)).write.mode("append").partitionBy("recorded_day").parquet(self._path(table))
+        else:
+            rows.write.mode("append").parquet(self._path(table))
+
+    def read(self, table: str, merge: bool = True) -> DataFrame:
+        """All rows, or for keyed tables the last one of each key. merge: also columns that only some appends had."""
+        df = self._files(table, merge)
         key = TABLES[table]
-        return latest_by(df, [key]) if key else df
+        return (latest_by(df, [key]) if key else df).drop("recorded_day")
 
     def newest(self, table: str, limit: int = DEFAULT_LIMIT, **equals) -> DataFrame:
         df = self.read(table)
@@ -49,8 +67,20 @@ class TableStore:
         return df.orderBy(F.desc("recorded")).limit(max(0, limit))
 
     def between(self, table: str, dataset: str, ts: str, start, end, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        """Rows of a dataset from start to end, both included, newest first."""
-        return time_range(self.read(table).where(F.col("dataset") == dataset), ts, F.lit(start), F.lit(end), limit)
+        """Rows of a dataset from start to end, both included, newest first; of a time table only the days between are read."""
+        df = self._files(table) if TIMED.get(table) == ts else self.read(table)
+        if "recorded_day" in df.columns:
+            df = df.where(F.col("recorded_day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).drop("recorded_day")
+        return time_range(df.where(F.col("dataset") == dataset), ts, F.lit(start), F.lit(end), limit)
+
+
+def list_datasets(datasets: DataFrame, domain: str | None = None) -> DataFrame:
+    return datasets if domain is None else datasets.where(F.col("domain") == domain)
+
+
+def newest_of(df: DataFrame, dataset: str, limit: int = DEFAULT_LIMIT, order: str = "recorded") -> DataFrame:
+    """A dataset's newest rows: of drift reports, remediation results or thresholds."""
+    return df.where(F.col("dataset") == dataset).orderBy(F.desc(order)).limit(max(0, limit))
 
 
 def latest_by(df: DataFrame, keys: list[str], order: str = "recorded") -> DataFrame:
