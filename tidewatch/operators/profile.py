@@ -1,8 +1,8 @@
 """Column profiles: counts, moments, exact percentiles, lengths, distinct counts, histograms, top values.
 
-Statistics of all columns come from two scans. The first one brackets each percentile by a mergeable quantile sketch; the second
-one takes everything else, with, for each percentile, the number of values below the bracket and the values inside it, which are
-a few hundred thousandths of all. So percentiles are exact, and no task holds a column's distinct values. Rows are reshaped
+Statistics come from few scans of a column: one brackets each percentile by a mergeable quantile sketch, one counts the values
+below the brackets, one gathers the values inside them, which are a few hundred thousandths of all, and one takes all else;
+``CHUNK`` columns share them. So percentiles are exact, and no task holds a column's distinct values. Rows are reshaped
 afterwards. NaN counts as a value, is reported in ``nan_count`` and left out of numeric statistics. Columns without a value
 have null statistics and distinct count 0.
 """
@@ -26,6 +26,7 @@ BINS, LEAST_BINS, MOST_BINS = 20, 5, 100
 LEAST_RATE, MOST_RATE = 0.01, 0.99
 QUANTILES = (0.25, 0.5, 0.75, 0.99)
 SKETCH_ACCURACY = 50_000  # a bracket reaches this many times less than all values, three times over, to either side
+CHUNK = 8  # columns aggregated together: more would outgrow generated code, and columns are read apart anyway
 MOST_GROUPS = 100_000  # rows of a small side up to which it is held by the driver and broadcast
 MOMENTS = ("mean", "min_value", "max_value", "std_dev", "skewness", "kurtosis")
 NUMERIC = ("mean", "min_value", "max_value", "std_dev", "p25", "p50", "p75", "p99", "skewness", "kurtosis")
@@ -85,24 +86,32 @@ def _brackets(df: DataFrame, numeric: dict[str, Column], by: list[str]) -> DataF
     return held(df.groupBy(*by).agg(*[ends(x).alias(f"_q_{c}") for c, x in numeric.items()]))
 
 
-_PIECE = "struct<lo:double,hi:double,below:bigint,at_lo:bigint,at_hi:bigint,inside:array<double>>"
+def _ends(name: str, k: int) -> tuple[Column, Column]:
+    return F.col(f"`_q_{name}`")[2 * k], F.col(f"`_q_{name}`")[2 * k + 1]
 
 
 def _pieces(x: Column, name: str) -> Column:
-    """What each percentile is read from: its bracket, how many values lie below and on its ends, and those inside."""
+    """For each percentile its bracket, and how many values lie below and on its ends."""
     out = []
     for k in range(len(QUANTILES)):
-        lo, hi = F.col(f"`_q_{name}`")[2 * k], F.col(f"`_q_{name}`")[2 * k + 1]
-        inside = F.collect_list(F.when((x > lo) & (x < hi), x))
-        out.append(F.struct(F.max(lo).alias("lo"), F.max(hi).alias("hi"), F.count_if(x < lo).alias("below"), F.count_if(x == lo).alias("at_lo"), F.count_if((x == hi) & (hi > lo)).alias("at_hi"), inside.alias("inside")))
+        lo, hi = _ends(name, k)
+        out.append(F.struct(F.max(lo).alias("lo"), F.max(hi).alias("hi"), F.count_if(x < lo).alias("below"), F.count_if(x == lo).alias("at_lo"), F.count_if((x == hi) & (hi > lo)).alias("at_hi")))
     return F.array(*out)
 
 
-def _percentile(piece: Column, q: float, n: Column) -> Column:
+def _insides(df: DataFrame, numeric: dict[str, Column], by: list[str]) -> DataFrame:
+    """(by, column_name, _k, _i): for each column and percentile the sorted values inside its bracket, where there are any."""
+    each = [F.when((x > _ends(c, k)[0]) & (x < _ends(c, k)[1]), F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("_k"), x.alias("_x"))) for c, x in numeric.items() for k in range(len(QUANTILES))]
+    some = df.select(*by, F.inline(F.array_compact(F.array(*each))))
+    lists = some.groupBy(*by, "column_name", "_k").agg(F.sort_array(F.collect_list("_x")).alias("_i"))
+    return lists.groupBy(*by, "column_name").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_i"))).alias("_i"))
+
+
+def _percentile(piece: Column, inside: Column, q: float, n: Column) -> Column:
     """The percentile q of n values, interpolated between its neighbours."""
     place = q * (n - 1)
     first = F.floor(place)
-    inside = F.sort_array(piece["inside"])
+    inside = F.coalesce(inside, F.array().cast("array<double>"))
 
     def at(r: Column) -> Column:
         i = r - piece["below"]
@@ -114,19 +123,19 @@ def _percentile(piece: Column, q: float, n: Column) -> Column:
 
 
 def _stats(field: T.StructField) -> Column:
-    """One struct of all statistics of a column, and what its percentiles are read from."""
+    """One struct of all statistics of a column but its percentiles."""
     c, kind = F.col(f"`{field.name}`"), declared_type(field.dataType)
     none = lambda t: F.lit(None).cast(t)
     if kind in ("integer", "float", "decimal"):
         x = _number(field.name, field.dataType)
-        numeric, pieces, n = [F.avg(x), F.min(x), F.max(x), F.stddev_samp(x), adjusted_skewness(x), excess_kurtosis(x)], _pieces(x, field.name), F.count(x)
+        numeric, n = [F.avg(x), F.min(x), F.max(x), F.stddev_samp(x), adjusted_skewness(x), excess_kurtosis(x)], F.count(x)
     else:
-        numeric, pieces, n = [none("double")] * len(MOMENTS), none(f"array<{_PIECE}>"), F.lit(0).cast("long")
+        numeric, n = [none("double")] * len(MOMENTS), F.lit(0).cast("long")
     text = [F.avg(F.length(c)), F.max(F.length(c)).cast("long")] if kind == "string" else [none("double"), none("long")]
     nan = F.count_if(F.isnan(c)) if kind == "float" else F.lit(0).cast("long")
     return F.struct(
         F.lit(field.name).alias("column_name"), F.lit(kind).alias("dtype"), F.count(F.lit(1)).alias("total_count"), F.count_if(c.isNull()).alias("null_count"), nan.alias("nan_count"),
-        *[v.alias(m) for m, v in zip(MOMENTS, numeric, strict=True)], text[0].alias("avg_length"), text[1].alias("max_length"), n.alias("_n"), pieces.alias("_p"),
+        *[v.alias(m) for m, v in zip(MOMENTS, numeric, strict=True)], text[0].alias("avg_length"), text[1].alias("max_length"), n.alias("_n"),
     )
 
 
@@ -137,12 +146,25 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None, by: list[
     if len(names) > MOST_COLUMNS:
         raise ProfileError(f"{len(names)} columns; at most {MOST_COLUMNS} are profiled")
     fields = {f.name: f for f in df.schema.fields}
-    numeric = {n: _number(n, fields[n].dataType) for n in names if declared_type(fields[n].dataType) in ("integer", "float", "decimal")}
+    parts = [_statistics(df, [fields[n] for n in names[i : i + CHUNK]], by) for i in range(0, len(names), CHUNK)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    other = right.withColumnsRenamed({c: f"_by_{c}" for c in keys})
+    return left.join(other, reduce(Column.__and__, [left[c].eqNullSafe(F.col(f"_by_{c}")) for c in keys]), "left").drop(*[f"_by_{c}" for c in keys])
+
+
+def _statistics(df: DataFrame, fields: list[T.StructField], by: list[str]) -> DataFrame:
+    own = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*by, *(f.name for f in fields)])])
+    long = own.groupBy(*by).agg(F.array(*[_stats(f) for f in fields]).alias("s")).select(*by, F.inline("s"))
+    numeric = {f.name: _number(f.name, f.dataType) for f in fields if declared_type(f.dataType) in ("integer", "float", "decimal")}
+    found = {f"p{round(100 * q)}": F.lit(None).cast("double") for q in QUANTILES}
     if numeric:
-        df = _met(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*by, *names])]), _brackets(df, numeric, by), by)
-    wide = df.groupBy(*by).agg(F.array(*[_stats(fields[n]) for n in names]).alias("s"))
-    long = wide.select(*by, F.inline("s"))
-    found = {f"p{round(100 * q)}": _percentile(F.get("_p", F.lit(k)), q, F.col("_n")) for k, q in enumerate(QUANTILES)}
+        own = _met(own, _brackets(own, numeric, by), by)
+        pieces = own.groupBy(*by).agg(F.array(*[F.struct(F.lit(c).alias("column_name"), _pieces(x, c).alias("_p")) for c, x in numeric.items()]).alias("s")).select(*by, F.inline("s"))
+        long = _joined(_joined(long, pieces, [*by, "column_name"]), held(_insides(own, numeric, by)), [*by, "column_name"])
+        found = {f"p{round(100 * q)}": _percentile(F.get("_p", F.lit(k)), F.col("_i")[k], q, F.col("_n")) for k, q in enumerate(QUANTILES)}
     rows = ["column_name", "dtype", "total_count", "null_count", "nan_count"]
     return long.select(*by, *rows, *[found[c].alias(c) if c in found else F.col(c) for c in NUMERIC], "avg_length", "max_length")
 
