@@ -34,6 +34,7 @@ from .tokens import ENCODE_BYTES, chunk_texts, public_vocabulary, ragged_take
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NEVER = 1 << 40
+LONG_WORD = 512  # from here on a prefix is kept only as far as a token can reach
 
 
 class WordTrie:
@@ -69,6 +70,7 @@ class TrieBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.special_first = sorted({t[0] for t in self.special if t})
         self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.unknown = self.vocab.get(model.get("unk_token") or "", None)
         # how each token is made: rank, left and right part; the first merge that yields a token counts
@@ -80,7 +82,7 @@ class TrieBpe:
             self.rank.setdefault((left, right), r)
             self.made.setdefault(self.vocab[a + b], (r, left, right))
         # tokens that lie within a word, and those that close one, by their characters
-        plain = [t for t in self.vocab if t in self.vocab and not (self.suffix and t.endswith(self.suffix))]
+        plain = [t for t in self.vocab if not (self.suffix and t.endswith(self.suffix))]
         single = lambda t: len(t) == 1
         self.inner = {t: self.vocab[t] for t in plain if single(t) or self.vocab[t] in self.made}
         if self.suffix:
@@ -88,6 +90,7 @@ class TrieBpe:
             self.closing = {t[:-cut]: i for t, i in self.vocab.items() if t.endswith(self.suffix) and (len(t) - cut == 1 or i in self.made)}
         else:
             self.closing = self.inner
+        self.longest = max(map(len, (*self.inner, *self.closing)), default=0)
         self.starts = {t[:k] for t in (*self.inner, *self.closing) for k in range(1, len(t) + 1)}
         self.size = {i: len(t) for t, i in self.inner.items()} | {i: len(t) for t, i in self.closing.items()}
         self.pairs: dict[int, bool] = {}
@@ -127,8 +130,8 @@ class TrieBpe:
         trie = WordTrie(words)
         n = len(trie.parent)
         last = [-1] * n  # last token of the prefix that ends here
-        text, reach, path = [""] * 0, [0] * n, [0]
-        inner, closing, starts, stays, size = self.inner, self.closing, self.starts, self.stays, self.size
+        reach, path, chars, window = [0] * n, [0], [], self.longest + 1
+        inner, closing, starts, stays = self.inner, self.closing, self.starts, self.stays
         depth = [0] * n
         back: dict[str, list[int]] = {}
         leaves = iter(trie.words)
@@ -140,13 +143,19 @@ class TrieBpe:
             depth[node] = d
             del path[d:]
             path.append(node)
-            prefix = prefix[: d - 1] + trie.char[node]
+            chars[d - 1 :] = [trie.char[node]]
+            # what a token can reach back to: the prefix, or of a long one its end
+            if d <= LONG_WORD:
+                prefix = tail = prefix[: d - 1] + trie.char[node]
+            else:
+                tail = "".join(chars[max(0, d - window) :])
+            end = len(tail)
             k = reach[up] + 1  # longest suffix that begins some token
-            while k and prefix[d - k :] not in starts:
+            while k and tail[end - k :] not in starts:
                 k -= 1
             reach[node] = k
             for length in range(k, 0, -1):
-                t = inner.get(prefix[d - length :])
+                t = inner.get(tail[end - length :])
                 if t is not None and (length == d or ((b := last[path[d - length]]) >= 0 and stays(b, t))):
                     last[node] = t
                     break
@@ -154,8 +163,7 @@ class TrieBpe:
                 out = self._close(word, d, k, path, last, closing, stays)
                 back[word] = out
                 word = next(leaves, None)
-        del text
-        return back if size else {}
+        return back
 
     def _close(self, word: str, d: int, k: int, path: list[int], last: list[int], closing, stays) -> list[int]:
         for length in range(k, 0, -1):
@@ -179,7 +187,7 @@ class TrieBpe:
         normal, pre = self.tok.normalizer, self.tok.pre_tokenizer
         plain: list[tuple[int, str]] = []
         for i, x in enumerate(chunks):
-            if self.special_at and "<" in x and self.special_at.search(x):
+            if self.special_at and any(c in x for c in self.special_first) and self.special_at.search(x):
                 at = 0
                 for m in self.special_at.finditer(x):
                     out[i] += self._split(x[at : m.start()], normal, pre)
