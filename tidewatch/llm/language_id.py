@@ -14,6 +14,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,14 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 SCALE = 100.0
 BLOCK = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that aren't digits
 _TABLE: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
     """For each code point: itself if it is a letter, else a space (built from the character database once a process)."""
     if not _TABLE:
-        size = 0x30000
+        size = sys.maxunicode + 1
         table = np.full(size, 32, np.uint32)
         for c in range(size):
             if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
@@ -48,11 +49,16 @@ def _letters() -> np.ndarray:
     return _TABLE[0]
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter of the character database, as in ``_letters``."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each between two spaces and followed by zeros, and the texts' offsets."""
     table = _letters()
     raw = np.frombuffer("".join(f" {x} \0\0" for x in texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    out = table[np.minimum(raw, len(table) - 1)]
+    out = table[raw]
     sizes = np.array([len(x) + 4 for x in texts], np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     out[ends[1:] - 1] = 0
@@ -108,7 +114,7 @@ class LanguageModel:
         return total / np.maximum(count, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [i for i, x in enumerate(texts) if x and _LETTER.search(x)] if self.languages else []
+        known = [i for i, x in enumerate(texts) if x and has_letter(x)] if self.languages else []
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
         if known:
             z = self.logits([texts[i] for i in known]) / self.temperature
