@@ -1,11 +1,12 @@
 """Operator 9: token ids in word-aligned binary files (Simple-8b).
 
-File (``.s8b``, little-endian throughout): magic ``S8BTOK1\\0``; u64 number of documents, ids and blocks; u64 place of the
-index; then the blocks; then the index: i64 id of each document, u64 its first id's position in the file, and for each block
-u64 place, u32 words and u32 escapes. A block holds ``BLOCK_IDS`` ids (the last one fewer): its words, then its escapes as
-u32. The top four bits of a word select how many ids it packs and how wide; an id of 2**15 - 1 or more is packed as
-that value, and its true value is the block's next escape. So four 15-bit ids fit a word whatever the ids are, each
-block is decoded alone through its offset, and decoding handles all words of one selector at once.
+File (``.s8b``, little-endian throughout): the blocks; then the index: i64 id of each document, u64 its first id's position
+in the file, and for each block u64 place, u32 words and u32 escapes; then the footer: magic ``S8BTOK2\\0``; u64 number
+of documents, of those without an id (they come first), of ids and of blocks; u64 place of the index. A block holds ``BLOCK_IDS`` ids (the
+last one fewer): its words, then its escapes as u32. The top four bits of a word select how many ids it packs and how wide; an id
+of 2**15 - 1 or more is packed as that value, and its true value is the block's next escape. So four 15-bit ids fit a word
+whatever the ids are, each block is decoded alone through its offset, and decoding handles all words of one selector at
+once. A file is written once from start to end, so any store will do.
 
 Documents are ranged by doc_id over files; ids ascend within a file and over files. Each task writes under a name of its own
 attempt and renames it, so a repeated or a second task leaves one whole file.
@@ -30,12 +31,10 @@ from pyspark.sql import types as T
 from .common import fresh_path, map_arrow, read, shared_store, slices, stash
 from .tokens import ENCODE_BYTES, chunk_encoder, public_vocabulary
 
-MAGIC = b"S8BTOK1\0"
-HEAD = struct.Struct("<8sQQQQ")
-HEAD_BYTES = HEAD.size
+MAGIC = b"S8BTOK2\0"
+FOOT = struct.Struct("<8sQQQQQ")
 BLOCK_IDS = 8192
 ESCAPE = (1 << 15) - 1
-NULL_ID = -(1 << 63)
 #: Ids per word and bits per id, by selector. Widths above 15 are not needed: larger ids escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15))
 END_ID = 2
@@ -89,14 +88,16 @@ class TokenFileWriter:
     """Streams documents into one file; holds one block and the document index."""
 
     def __init__(self, sink):
-        self.sink, self.place, self.ids = sink, HEAD.size, 0
+        self.sink, self.place, self.ids, self.nulls = sink, 0, 0, 0
         self.docs: list[int] = []
         self.starts: list[int] = []
         self.blocks: list[tuple[int, int, int]] = []
         self.rest = np.zeros(0, np.uint32)
 
-    def add(self, doc_ids: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
-        self.docs += doc_ids
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents without an id must come before all others."""
+        self.nulls += doc_ids.count(None)
+        self.docs += [x or 0 for x in doc_ids]
         self.starts += (ends[:-1] + self.ids).tolist()
         self.ids += len(ids)
         self.rest = np.concatenate([self.rest, ids])
@@ -111,14 +112,13 @@ class TokenFileWriter:
         self.blocks.append((self.place, len(words), len(escapes)))
         self.place += 8 * len(words) + 4 * len(escapes)
 
-    def close(self) -> bytes:
-        """Finish the body; returns the header, which belongs at the file's start."""
+    def close(self) -> None:
+        """Finish the file with its index and footer."""
         if len(self.rest):
             self._block(self.rest)
         index = np.array(self.docs, "<i8").tobytes() + np.array(self.starts, "<u8").tobytes()
         index += np.array(self.blocks, dtype=[("p", "<u8"), ("w", "<u4"), ("e", "<u4")]).tobytes()
-        self.sink.write(index)
-        return HEAD.pack(MAGIC, len(self.docs), self.ids, len(self.blocks), self.place)
+        self.sink.write(index + FOOT.pack(MAGIC, len(self.docs), self.nulls, self.ids, len(self.blocks), self.place))
 
 
 class TokenFile:
@@ -126,8 +126,8 @@ class TokenFile:
 
     def __init__(self, source):
         self.source = source
-        source.seek(0)
-        magic, self.n_docs, self.n_ids, n_blocks, place = HEAD.unpack(source.read(HEAD.size))
+        source.seek(-FOOT.size, 2)
+        magic, self.n_docs, self.n_nulls, self.n_ids, n_blocks, place = FOOT.unpack(source.read(FOOT.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         source.seek(place)
@@ -172,10 +172,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             yield from batches
 
         with store.open_output_stream(body) as sink:
-            sink.write(bytes(HEAD_BYTES))
             writer = TokenFileWriter(sink)
             for piece in slices(again(), "text", ENCODE_BYTES):
-                doc_ids = [NULL_ID if x is None else x for x in piece.column("doc_id").to_pylist()]
+                doc_ids = piece.column("doc_id").to_pylist()
                 for lo, hi, ids, ends in encoder.encode(piece.column("text")):
                     closed = ends + np.arange(hi - lo + 1)  # an end id after each document
                     whole = np.full(closed[-1], end_id, np.uint32)
@@ -183,8 +182,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                     keep[closed[1:] - 1] = False
                     whole[keep] = ids
                     writer.add(doc_ids[lo:hi], whole, closed)
-            head = writer.close()
-        _put_head(store, body, head)
+            writer.close()
         store.move(body, f"{top}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([writer.ids], pa.int64()), pa.array([len(writer.docs)], pa.int64())], names=["file_no", "file", "n_ids", "n_docs"])
 
@@ -192,19 +190,6 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     return map_arrow(ordered, run, "file_no long, file string, n_ids long, n_docs long")
 
 
-def _put_head(store, path: str, head: bytes) -> None:
-    from pyarrow import fs
-
-    if isinstance(store, fs.LocalFileSystem):
-        with open(path, "r+b") as f:
-            f.write(head)
-        return
-    with store.open_input_stream(path) as source:  # stores without writing in place: once more from the start
-        rest = source.read()[len(head) :]
-    with store.open_output_stream(path) as sink:
-        sink.write(head + rest)
-
-
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """One row for each document of the files of ``manifest``: place, size and checksum of its ids, decoded from the file."""
     schema = T.StructType([*(T.StructField(x, T.LongType()) for x in ("doc_id", "start", "n_tokens", "ids_crc32"))])
@@ -222,8 +207,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                         ids = f.ids(int(cut[0]), int(cut[-1])).astype("<u4")
                         at = (cut - cut[0]).tolist()
                         crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(at, at[1:], strict=False)]
-                        doc = f.doc_ids[a:b]
-                        columns = [pa.array(doc, mask=doc == NULL_ID), pa.array(cut[:-1] + before), pa.array(np.diff(cut)), pa.array(crc, pa.int64())]
+                        columns = [pa.array(f.doc_ids[a:b], mask=np.arange(a, b) < f.n_nulls), pa.array(cut[:-1] + before), pa.array(np.diff(cut)), pa.array(crc, pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     spark = manifest.sparkSession
