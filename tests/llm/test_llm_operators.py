@@ -72,6 +72,18 @@ def test_trie_equals_library(tok):
             assert decoded[i - lo].decode() == tok[WORDS].decode(want, skip_special_tokens=False)
 
 
+def test_trie_keeps_only_the_end_of_long_words(tok, monkeypatch):
+    rng = random.Random(3)
+    long = "".join(rng.choice("theandofing") for _ in range(3000))
+    words = [long, long[:700] + "x", long[:513], long[:512], long[:511] + "q", long[:40], long[:2000] + "the", "of"]
+    bpe = trie_bpe.trie_bpe(WORDS)
+    for least in (512, 8):
+        monkeypatch.setattr(trie_bpe, "LONG_WORD", least)
+        for lo, hi, ids, ends in bpe.encode(pa.array(words)):
+            for i in range(lo, hi):
+                assert ids[ends[i - lo] : ends[i - lo + 1]].tolist() == ids_of(tok, WORDS, words[i]), i
+
+
 def test_trie_shares_prefixes():
     t = trie_bpe.WordTrie(["abc", "abd", "ab", "x"])
     assert len(t.parent) == 1 + 5 and t.parent[t.leaf_of["abc"]] == t.leaf_of["ab"]
@@ -155,6 +167,10 @@ def test_token_files(spark, tok, tmp_path):
         if r.doc_id != 3:
             ids = np.array([*ids_of(tok, BYTES, ODD[r.doc_id]), 2], "<u4")
             assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    ends = spark.createDataFrame([(None, "b"), (-(2**63), "c"), (None, None), (2**63 - 1, "d"), (0, "e")], "doc_id long, text string")
+    folder = fresh_path(spark, "t")
+    manifest = simple8b.write_token_files(ends, folder, BYTES, files=2).persist()
+    assert [r.doc_id for r in simple8b.read_token_files(manifest, folder).orderBy("start").collect()] == [None, None, -(2**63), 0, 2**63 - 1]
     none = simple8b.write_token_files(docs(spark, []), fresh_path(spark, "t"), BYTES)
     assert simple8b.read_token_files(none, "x").count() == 0
 
@@ -312,6 +328,8 @@ def test_language_id(spark):
     model = language_id.fit(texts, ["en"] * 30 + ["de"] * 30)
     lang, score = model.predict(["the dog", "die katze", None, "", "123 !!", "THE CAT " * 40000])
     assert lang == ["en", "de", "und", "und", "und", "en"] and (score[2:5] == 0).all() and ((score >= 0) & (score <= 1)).all()
+    marks = ["½", "²", "①", "Ⅷ", "५", "𝟘", "—", "ª", "日", "\U00030000"]
+    assert [language_id.has_letter(x) for x in marks] == [any(c.isalpha() for c in x) for x in marks] and model.predict(["½", "Ⅷ 12"])[0] == ["und", "und"]
     long = "the dog and the cat " * 20000  # over one block: the same as its shares say
     assert np.allclose(model.logits([long]), model.logits([long[: len(long) // 2]]), atol=1e-3)
     assert np.mean(model.weights == 0) > 0.5
@@ -320,6 +338,90 @@ def test_language_id(spark):
     assert len(got) == len(ODD) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_language_id_updates_equal_plain_ftrl(monkeypatch):
+    """The weights after one pass against the same updates written out for single features."""
+    monkeypatch.setattr(language_id, "EPOCHS", 1)
+    texts, labels = ["der hund", "the dog", "die katze und", "a cat and", "der und die"], ["de", "en", "de", "en", "de"]
+    model = language_id.fit(texts, labels)
+    order = np.random.default_rng(7).permutation(5).tolist()
+    rows = [language_id.features(x) for x in texts]
+    df = {}
+    for f, _ in rows:
+        for j in f.tolist():
+            df[j] = df.get(j, 0) + 1
+    idf = {j: np.log(6 / (1 + c)) + 1 for j, c in df.items()}
+    z, n = {}, {}
+
+    def weight(j, k):
+        v = z.get((j, k), 0.0)
+        return 0.0 if abs(v) <= language_id.L1 else -(v - np.sign(v) * language_id.L1) / ((language_id.BETA + np.sqrt(n.get((j, k), 0.0))) / language_id.ALPHA + language_id.L2)
+
+    for i in order:
+        x = {int(j): s * idf[int(j)] * language_id.SCALE for j, s in zip(*rows[i], strict=True)} | {"bias": 1.0}
+        w = {(j, k): weight(j, k) for j in x for k in (0, 1)}
+        s = [sum(x[j] * w[j, k] for j in x) for k in (0, 1)]
+        p = np.exp(np.array(s) - max(s))
+        p /= p.sum()
+        for k in (0, 1):
+            for j in x:
+                g = x[j] * (p[k] - (labels[i] == ("de", "en")[k]))
+                old = n.get((j, k), 0.0)
+                z[j, k] = z.get((j, k), 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / language_id.ALPHA * w[j, k]
+                n[j, k] = old + g * g
+    for j in df:
+        assert model.weights[j].tolist() == pytest.approx([weight(j, k) * idf[j] * language_id.SCALE for k in (0, 1)], rel=1e-4, abs=1e-4)
+    assert model.bias.tolist() == pytest.approx([weight("bias", 0), weight("bias", 1)])
+
+
+def test_quality_net_forward_and_gradients():
+    rng = np.random.default_rng(4)
+    net = quality_net.ByteNet(rng)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = [b"a short text", bytes(rng.integers(32, 127, 1100, dtype=np.uint8)), b""]
+    for text in texts:  # filters over all chunks, in loops
+        best = []
+        for c in quality_net.chunks(text):
+            e = net.p["e"][c]
+            at = [e[i : i + quality_net.WIDTH].ravel() @ net.p["w"] + net.p["b"] for i in range(0, quality_net.CHUNK - quality_net.WIDTH + 1, quality_net.STRIDE)]
+            best.append(np.maximum(np.max(at, axis=0), 0))
+        u = np.concatenate([np.mean(best, axis=0), np.max(best, axis=0)])
+        assert net.logits([text])[0] == pytest.approx(u @ net.p["v"] + net.p["c"][0], rel=1e-5)
+    docs_, y = [quality_net.chunks(t) for t in texts[:2]], np.array([1.0, 0.0])
+
+    def loss():
+        z = net.logits(texts[:2])
+        return float(np.mean(np.logaddexp(0, z) - y * z)) + 0.5e-4 * float((net.p["v"] ** 2).sum())
+
+    g = net.gradients(docs_, y)
+    for name, p in net.p.items():
+        spots = [i for i in rng.permutation(p.size)[:14] if name != "e" or i >= p.shape[1]]  # the padding's row stays zero
+        for i in spots:
+            cell, before = np.unravel_index(i, p.shape), p.flat[i]
+            p[cell] = before + 1e-5
+            up = loss()
+            p[cell] = before - 1e-5
+            down = loss()
+            p[cell] = before
+            assert g[name][cell] == pytest.approx((up - down) / 2e-5, abs=2e-4), name
+
+
+def test_models_on_odd_tables(spark):
+    """Null ids and texts, repeated rows, clashing columns, an empty table: one row for each, the same result for equal rows."""
+    texts = [t for t, _ in labelled(40, 6)]
+    d = docs(spark, [*ODD, *texts]).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de")))
+    d = d.unionByName(d.limit(4)).unionByName(d.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("a.b", F.lit(1))
+    labels = spark.createDataFrame([(len(ODD) + i, i % 2, "x") for i in range(40)] + [(len(ODD), 1, "x"), (None, 1, "x")], "doc_id long, quality int, held_out string")
+    for rows, key in ((quality_net.score_documents(d, quality_net.train(d, labels)), "score"), (language_id.predict_languages(d, language_id.train(d)), "lang_pred")):
+        got = rows.collect()
+        assert len(got) == d.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b"") % 5 == 0) and 0 <= r.score <= 1 for r in got)
+        assert len({r[key] for r in got if r.doc_id == 0}) == 1
+    assert all(r.predicted == (r.score >= 0.3) for r in quality_net.score_documents(d, quality_net.train(d, labels)).collect())
+    assert quality_net.score_documents(d.limit(0), quality_net.train(d.limit(0), labels)).count() == 0
+    assert language_id.predict_languages(d.limit(0), language_id.train(d.limit(0))).count() == 0
+    nulls = docs(spark, ["x", None]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert packing.pack_documents(nulls, BYTES).count() == 2 and trie_bpe.encode_documents(nulls, WORDS).where("doc_id IS NULL").count() == 2
+
+
 def test_quality_net():
     rng = random.Random(3)
     good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
@@ -355,6 +457,62 @@ def test_url_rules_and_reputation(spark):
     low = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame([("a.x.com", 1), ("b.x.com", None), ("c.y.com", 0)], "host string, outcome int")).collect()}
     assert 0 < low["b.x.com"].rate < low["a.x.com"].rate and low["a.x.com"].low < low["a.x.com"].rate
     assert url_filter.judge_urls(p.limit(0), url_filter.RULES).count() == 0
+    by_key = {(r.page_id, r.verdict) for r in url_filter.judge_urls(p, url_filter.RULES, broadcast_rows=1, heavy=30).collect()}
+    assert by_key == {(k, r.verdict) for k, r in got.items()} and {v for _, v in by_key} == {"allow", "block"}
+
+
+def reputation_by_hand(pages):
+    """Posterior rate and lower bound of each host, in plain loops. pages: (host, outcome)."""
+    def split(host):
+        parts = host.split(".")
+        if re.match(r"^\d+(\.\d+){3}$", host):
+            return host, ""
+        k = 2 if len(parts) > 2 and ".".join(parts[-2:]) in url_filter.SECOND_LEVEL else 1
+        return ".".join(parts[-k - 1 :]), ".".join(parts[-k:])
+
+    n, bad = {}, {}
+    for host, y in pages:
+        domain, suffix = split(host)
+        for key in (("host", host), ("domain", domain), ("suffix", suffix)):
+            n[key], bad[key] = n.get(key, 0) + (y is not None), bad.get(key, 0) + (y or 0)
+    strength, total = {}, sum(y is not None for _, y in pages)
+    mean = sum(y or 0 for _, y in pages) / total
+    for level in ("suffix", "domain", "host"):
+        keys = [k for k in n if k[0] == level and n[k]]
+        spread = sum(bad[k] ** 2 / n[k] for k in keys) / total - mean**2 - mean * (1 - mean) * len(keys) / total
+        strength[level] = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000.0
+    out = {}
+    for host in {h for h, _ in pages}:
+        domain, suffix = split(host)
+        rate = mean
+        for level, key in (("suffix", suffix), ("domain", domain), ("host", host)):
+            a, b = bad[level, key] + strength[level] * rate, n[level, key] - bad[level, key] + strength[level] * (1 - rate)
+            rate = a / (a + b)
+        out[host] = (rate, rate - url_filter.Z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)
+    return out, mean
+
+
+def test_shrinkage_changes_verdicts(spark):
+    """Small hosts take after their domain: one bad page doesn't block a host of a good domain, and no page of a bad one is needed."""
+    pages = [(f"h{i}.good.com", int(i % 50 == 0)) for i in range(200) for _ in range(3)] + [(f"h{i}.bad.com", 1) for i in range(60)] + [("one.good.com", 1), ("new.bad.com", None), ("shop.co.uk", 1), ("a.shop.co.uk", 0), ("10.0.0.1", 1), ("192.168.0.1", 0)]
+    table = spark.createDataFrame(pages, "host string, outcome int")
+    got = {r.host: r for r in url_filter.host_reputation(table).collect()}
+    want, mean = reputation_by_hand(pages)
+    assert got.keys() == want.keys()
+    for host, (rate, low) in want.items():
+        assert (got[host].rate, got[host].low, got[host].overall) == pytest.approx((rate, low, mean)), host
+    urls = table.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "host", F.lit("/")).alias("url"), "outcome")
+    verdict = {r.host: r.verdict for r in url_filter.judge_urls(urls, {}).collect()}
+    # one bad page of one, a raw rate far above the mean, isn't enough; three of three are
+    assert 1.0 > 4 * mean and verdict["one.good.com"] == "allow" and verdict["h0.good.com"] == "block"
+    assert verdict["new.bad.com"] == "block" and verdict["h3.bad.com"] == "block" and verdict["h3.good.com"] == "allow"
+
+
+def test_url_filter_odd_rows(spark):
+    rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "http://a.com/", "<p>$$$$$</p>", "y"), (2, "HTTP://A.com?q", "", "z"), (3, "://", None, "w")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("verdict", F.lit("v"))
+    out = url_filter.judge_urls(d.select("page_id", "url", url_filter.symbol_outcome(F.col("html")).alias("outcome")), url_filter.RULES)
+    assert sorted((r.host, r.path, r.rule is None) for r in out.collect()) == [("", "", True)] * 3 + [("a.com", "", True), ("a.com", "/", True)]
 
 
 # --- 5: joins -------------------------------------------------------------------------------------------------------

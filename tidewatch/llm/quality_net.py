@@ -79,7 +79,8 @@ class ByteNet:
         du = d[:, None] * self.p["v"]
         owner = np.repeat(np.arange(len(docs)), sizes)
         top = pooled == u[owner, FILTERS:]
-        dp = du[owner, :FILTERS] / sizes[owner][:, None] + np.where(top, du[owner, FILTERS:], 0)
+        ties = np.add.reduceat(top.astype(np.float32), cuts)  # chunks overlap, so a maximum may be met twice
+        dp = du[owner, :FILTERS] / sizes[owner][:, None] + np.where(top, du[owner, FILTERS:] / ties[owner], 0)
         dp = dp * (pooled > 0)
         # only the place that won the pooling has a gradient
         rows, cols = np.nonzero(dp)
