@@ -37,36 +37,51 @@ BLOCK_IDS = 8192
 ESCAPE = (1 << 15) - 1
 #: Ids per word and bits per id, by selector. Widths above 15 are not needed: larger ids escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15))
+MOST_IDS = SELECTORS[0][0]
 END_ID = 2
-
-
-def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words and the escapes of one block of unsigned 32-bit ids."""
-    values = np.minimum(ids, ESCAPE).astype(np.uint64)
-    escapes = ids[ids >= ESCAPE].astype("<u4")
-    n = len(values)
-    bits = np.maximum(1, np.frexp(values.astype(np.float64))[1])
-    # fits[s][i]: the ids from i on can fill a whole word of selector s (past the end zeros are packed)
-    fits = np.zeros((len(SELECTORS), n), bool)
-    for s, (count, width) in enumerate(SELECTORS):
-        wide = np.concatenate([[0], np.cumsum(bits > width)])
-        fits[s] = wide[np.minimum(np.arange(n) + count, n)] == wide[:n]
-    best = np.argmax(fits, axis=0).tolist()  # the first that fits packs the most
-    counts = [c for c, _ in SELECTORS]
-    at, starts = 0, []
-    while at < n:
-        starts.append(at)
-        at += counts[best[at]]
-    starts_a = np.array(starts, np.int64)
-    chosen = np.array(best, np.int64)[starts_a]
+TOGETHER = 32  # blocks encoded together
+_COUNTS = np.array([count for count, _ in SELECTORS], np.int64)
+_BITS = np.maximum(1, np.frexp(np.arange(ESCAPE + 1, dtype=np.float64))[1]).astype(np.int8)
+
+
+def encode_blocks(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The words and the escapes of each row of unsigned 32-bit ids (blocks, ids of a block)."""
+    blocks, n = ids.shape
+    values = np.minimum(ids, ESCAPE)
+    bits = _BITS[values]
+    # best[b, i]: the selector that packs the most of the ids from i on into a whole word (past the end zeros are packed)
+    best = np.full((blocks, n), len(SELECTORS) - 1, np.int8)
+    wide = np.zeros((blocks, n + 1 + MOST_IDS), np.int16)
+    for s in range(len(SELECTORS) - 2, -1, -1):
+        count, width = SELECTORS[s]
+        np.cumsum(bits > width, axis=1, dtype=np.int16, out=wide[:, 1 : n + 1])
+        wide[:, n + 1 :] = wide[:, n : n + 1]
+        best[wide[:, count : count + n] == wide[:, :n]] = s
+    jump = _COUNTS[best]
+    at, rows, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
+    while (at < n).any():
+        steps.append(at)
+        at = at + jump[rows, np.minimum(at, n - 1)]
+    starts = np.stack(steps, axis=1) if steps else np.zeros((blocks, 0), np.int64)  # block, word
+    there = starts < n
+    block, start = np.nonzero(there)[0], starts[there]
+    chosen = best[block, start].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([values, np.zeros(64, np.uint64)])
+    padded = np.zeros((blocks, n + MOST_IDS), np.uint64)
+    padded[:, :n] = values
+    place = block * padded.shape[1] + start
     for s, (count, width) in enumerate(SELECTORS):
         own = np.flatnonzero(chosen == s)
         if len(own):
-            grid = padded[starts_a[own][:, None] + np.arange(count)]
+            grid = padded.ravel()[place[own][:, None] + np.arange(count)]
             words[own] |= np.bitwise_or.reduce(grid << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
-    return words.astype("<u8"), escapes
+    large = ids >= ESCAPE
+    cuts, more = np.cumsum(there.sum(axis=1))[:-1], np.cumsum(large.sum(axis=1))[:-1]
+    return list(zip(np.split(words.astype("<u8"), cuts), np.split(ids[large].astype("<u4"), more), strict=True))
+
+
+def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return encode_blocks(ids[None])[0]
 
 
 def decode_block(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -102,20 +117,20 @@ class TokenFileWriter:
         self.ids += len(ids)
         self.rest = np.concatenate([self.rest, ids])
         whole = len(self.rest) // BLOCK_IDS * BLOCK_IDS
-        for a in range(0, whole, BLOCK_IDS):
-            self._block(self.rest[a : a + BLOCK_IDS])
+        for a in range(0, whole, BLOCK_IDS * TOGETHER):
+            self._blocks(self.rest[a : min(whole, a + BLOCK_IDS * TOGETHER)].reshape(-1, BLOCK_IDS))
         self.rest = self.rest[whole:]
 
-    def _block(self, ids: np.ndarray) -> None:
-        words, escapes = encode_block(ids)
-        self.sink.write(words.tobytes() + escapes.tobytes())
-        self.blocks.append((self.place, len(words), len(escapes)))
-        self.place += 8 * len(words) + 4 * len(escapes)
+    def _blocks(self, ids: np.ndarray) -> None:
+        for words, escapes in encode_blocks(ids):
+            self.sink.write(words.tobytes() + escapes.tobytes())
+            self.blocks.append((self.place, len(words), len(escapes)))
+            self.place += 8 * len(words) + 4 * len(escapes)
 
     def close(self) -> None:
         """Finish the file with its index and footer."""
         if len(self.rest):
-            self._block(self.rest)
+            self._blocks(self.rest[None])
         index = np.array(self.docs, "<i8").tobytes() + np.array(self.starts, "<u8").tobytes()
         index += np.array(self.blocks, dtype=[("p", "<u8"), ("w", "<u4"), ("e", "<u4")]).tobytes()
         self.sink.write(index + FOOT.pack(MAGIC, len(self.docs), self.nulls, self.ids, len(self.blocks), self.place))
