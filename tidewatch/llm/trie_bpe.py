@@ -130,39 +130,43 @@ class TrieBpe:
         trie = WordTrie(words)
         n = len(trie.parent)
         last = [-1] * n  # last token of the prefix that ends here
-        reach, path, chars, window = [0] * n, [0], [], self.longest + 1
-        inner, closing, starts, stays = self.inner, self.closing, self.starts, self.stays
+        reach, path, chars, window, long = [0] * n, [0], [], self.longest + 1, LONG_WORD
+        closing, starts, stays = self.closing, self.starts, self.stays
+        parent, char, leaf_of, find = trie.parent, trie.char, trie.leaf_of, self.inner.get
         depth = [0] * n
         back: dict[str, list[int]] = {}
         leaves = iter(trie.words)
         word = next(leaves, None)
+        leaf = leaf_of[word] if word is not None else -1
         prefix = ""
         for node in range(1, n):
-            up = trie.parent[node]
-            d = depth[up] + 1
+            up = parent[node]
+            end = d = depth[up] + 1
             depth[node] = d
             del path[d:]
             path.append(node)
-            chars[d - 1 :] = [trie.char[node]]
             # what a token can reach back to: the prefix, or of a long one its end
-            if d <= LONG_WORD:
-                prefix = tail = prefix[: d - 1] + trie.char[node]
+            if d <= long:
+                prefix = tail = prefix[: d - 1] + char[node]
             else:
-                tail = "".join(chars[max(0, d - window) :])
-            end = len(tail)
+                chars[d - 1 - long :] = [char[node]]
+                tail = "".join(chars[-window:])
+                if len(chars) < window:
+                    tail = (prefix + tail)[-window:]
+                end = len(tail)
             k = reach[up] + 1  # longest suffix that begins some token
             while k and tail[end - k :] not in starts:
                 k -= 1
             reach[node] = k
             for length in range(k, 0, -1):
-                t = inner.get(tail[end - length :])
+                t = find(tail[end - length :])
                 if t is not None and (length == d or ((b := last[path[d - length]]) >= 0 and stays(b, t))):
                     last[node] = t
                     break
-            while word is not None and trie.leaf_of[word] == node:
-                out = self._close(word, d, k, path, last, closing, stays)
-                back[word] = out
+            while leaf == node:
+                back[word] = self._close(word, d, k, path, last, closing, stays)
                 word = next(leaves, None)
+                leaf = leaf_of[word] if word is not None else -1
         return back
 
     def _close(self, word: str, d: int, k: int, path: list[int], last: list[int], closing, stays) -> list[int]:
