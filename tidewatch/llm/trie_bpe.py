@@ -203,7 +203,7 @@ class TrieBpe:
         for a in range(0, len(plain), 512):
             part = plain[a : a + 512]
             texts = [normal.normalize_str(x) if normal and not (x.isascii() and x.islower()) else x for _, x in part]
-            ends = np.cumsum([len(x) + 1 for x in texts])
+            ends = np.cumsum([len(x) + 1 for x in texts]).tolist()
             k = 0
             for w, (_, end) in pre.pre_tokenize_str(" ".join(texts)):
                 while end > ends[k]:
@@ -223,7 +223,8 @@ class TrieBpe:
         del flat, coded
         pieces = self._pieces(chunks)
         known = self.encode_words([w for p in pieces for w in p if isinstance(w, str)])
-        ids_of = [[t for w in p for t in ((w,) if isinstance(w, int) else known[w])] for p in pieces]
+        # most chunks are one word
+        ids_of = [known[p[0]] if len(p) == 1 and isinstance(p[0], str) else [t for w in p for t in ((w,) if isinstance(w, int) else known[w])] for p in pieces]
         sizes = np.array([len(x) for x in ids_of], np.int64)
         table = np.array([t for x in ids_of for t in x], "<u4")
         del pieces, known, ids_of
