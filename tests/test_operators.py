@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions.expressions import short_number
 from tidewatch.operators import alerts, anomaly, checks, contracts, dashboards, freshness, healing, lineage, profile
 from tidewatch.sources.store import TableStore, TtlCache
 from tidewatch.streaming import monitors
@@ -370,3 +371,12 @@ def test_streaming_profiles_drop_late_rows(spark, tmp_path):
     q.stop()
     got = {r.window_start.day: r.mean for r in spark.table("prof").collect()}
     assert got[1] == 2.0
+
+
+def test_short_numbers_round_the_exact_value(spark):
+    rng = random.Random(5)
+    some = [0, 999, 1000, 1250, 1350, 1750, 999_949, 999_950, 999_999, 1_250_000, 273_450_000, 803_550_000, 999_950_000, 2**53 + 1, 2**63 - 1, None]
+    some += [rng.randrange(20, 10**7) * 50_000 for _ in range(2000)] + [rng.randrange(1000, 10**6) for _ in range(2000)]
+    want = lambda n: n if n is None else f"{n / 1e6:.1f}M" if n >= 10**6 else f"{n / 1e3:.1f}K" if n >= 1000 else str(n)
+    got = spark.createDataFrame([(n,) for n in some], "n long").select("n", short_number(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got if r.s != want(r.n)] == [] and len(got) == len(some)

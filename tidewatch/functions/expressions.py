@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,14 @@ def relative_time(seconds: Column) -> Column:
     return F.when(seconds < 60, "just now").when(seconds < 3600, unit(60, "m ago")).when(seconds < 86400, unit(3600, "h ago")).otherwise(unit(86400, "d ago"))
 
 
+def one_decimal(x: Column) -> Column:
+    """A double of 1 or more with one decimal, by its exact value and ties to even; ``format_string`` rounds the shortest decimal that reads as it, up at a half."""
+    parts = ((x - F.floor(x)) * 2.0**52).cast("long") * 10  # nothing is lost: from 1 on doubles are multiples of 2**-52
+    tenths = F.floor(x) * 10 + F.shiftright(parts + (2**51 - 1) + F.shiftright(parts, 52) % 2, 52)
+    return F.when(x < 2.0**53, (tenths.cast("decimal(19,0)") * F.lit(Decimal("0.1"))).cast("string")).otherwise(F.format_string("%.1f", x))  # no fractions beyond
+
+
 def short_number(x: Column) -> Column:
     """1.2M, 3.4K, or the number itself."""
-    return F.when(x >= 1_000_000, F.concat(F.format_string("%.1f", x / 1_000_000), F.lit("M"))).when(x >= 1_000, F.concat(F.format_string("%.1f", x / 1_000), F.lit("K"))).otherwise(x.cast("long").cast("string"))
+    shown = one_decimal(x.cast("double") / F.when(x >= 1_000_000, 1_000_000).otherwise(1_000))
+    return F.when(x >= 1_000, F.concat(shown, F.when(x >= 1_000_000, "M").otherwise("K"))).otherwise(x.cast("long").cast("string"))
