@@ -86,6 +86,13 @@ def test_distinct_counts_are_exact_at_any_size(spark):
     assert got == {"x": 250_000, "y": 3, "z": 400_000, "none": 0}
 
 
+def test_profile_counts_many_distinct_values_exactly(spark):
+    df = spark.range(240_000).select((F.col("id") % 160_000 / 100).alias("x"), F.format_string("n%d", F.col("id") % 130_000).alias("s"))
+    got = {r.column_name: r for r in profile.profile_dataset(df, "w.d", "p").collect()}
+    assert (got["x"].distinct_count, got["s"].distinct_count) == (160_000, 130_000)
+    assert sum(b["count"] for b in got["x"].histogram) == got["x"].total_count == 240_000
+
+
 def buckets(spark, profiles):
     rows = []
     for name, values in profiles:
