@@ -680,6 +680,28 @@ def test_components(spark):
         components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long"), most=1)
 
 
+def test_small_graphs_are_joined_by_the_driver(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(280)] + [(2**62 - i, 2**62 - i - 1) for i in range(150)] + [(900, 900)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    rows = lambda found: sorted((r.u, r.v) for r in found.collect())
+    want = rows(components.connected_components(df))
+    assert rows(components.components(df)) == want and rows(components.components(df, 10)) == want
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_a_small_table_take_few_jobs(spark):
+    words = [f"w{i}" for i in range(260)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 200])) for i in range(60)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near", "near")
+    try:
+        got = jaccard_join.jaccard_components(docs, 5, 80).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.component_id for r in got} == {0} and len(got) == 60
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) < 110
+
+
 def test_key_filter_has_no_false_negatives(spark):
     keys = [7, -1, 2**62, -(2**63), 0]
     bitmap = key_filter(spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long"), "k", 12)

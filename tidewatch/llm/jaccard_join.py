@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_filter, key_filter, map_arrow, map_rows, mix64, read, release, slices, stash
-from .components import connected_components
+from .components import components
 from .tokens import ascii_words
 
 SHINGLE, NUMERATOR = 4, 85
@@ -514,7 +514,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR)
     tried = stash(pivot_pairs(post, num), "pivot-pairs")
     near = stash(verified(stash(only(docs, _ids(tried), "id"), "texts"), tried, k, num), "near")
     copies_of = member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    component = stash(connected_components(near.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
+    component = stash(components(near.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
     spanning = stash(spanning_lists(post, component), "spanning")
     rest = stash(short_pairs(spanning, single, num).join(tried, ["x", "y"], "left_anti"), "short-pairs")
     found = stash(partnered(cells(spanning, single, num), num), "partnered")
@@ -524,7 +524,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR)
     # an id whose rows differ belongs to the classes of all of them
     several_sets = usable.groupBy("doc_id").agg(F.min("fp1").alias("a"), F.max("fp1").alias("b")).where(F.col("a") < F.col("b"))
     links = links.unionByName(member.join(several_sets, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    component = stash(connected_components(links), "components")
+    component = stash(components(links), "components")
     # copies take their class's component; a class that links with no other is its own
     of = copies_of.join(component.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select(F.col("u").alias("doc_id"), F.coalesce("root", "v").alias("root"))
     of = of.unionByName(component.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))).groupBy("doc_id").agg(F.min("root").alias("root"))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import crc_mod_py, map_arrow, map_rows, read, slices
+from .common import crc_mod_py, give_back, map_arrow, map_rows, read, slices
 from .quality_net import Adam, prior_shift
 from .sampling import labelled_texts
 from .tokens import ascii_words
@@ -359,7 +359,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> ToxicNet:
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicNet:
     got, _ = labelled_texts(docs, labels, "toxic", MOD, HELD_OUT, PER_LABEL, MOST_CHARS)
-    return fit(got["text"].to_pylist(), got["toxic"].to_pylist())
+    net = fit(got["text"].to_pylist(), got["toxic"].to_pylist())
+    del got
+    give_back()  # the driver goes on with other stages
+    return net
 
 
 def score_documents(docs: DataFrame, net: ToxicNet, reject_at: float = REJECT_AT) -> DataFrame:
