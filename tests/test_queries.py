@@ -5,9 +5,10 @@ import shutil
 import subprocess
 import sys
 
+import duckdb
 import pytest
 
-from tests.compare import assert_same
+from tests.compare import TABLES, assert_same
 from tidewatch.plans import registry
 
 NAMES = sorted(registry.oracle_sql())
@@ -39,6 +40,29 @@ def test_entry_without_the_corpus_operators(tmp_path, pipeline):
     assert done.returncode == 0, done.stderr
 
 
+def test_profile_of_a_dataset_rounds_ties_as_its_sql(spark, sf_dir, tmp_path):
+    """Means of 20 000 rows may lie on a tie of the last digit, 11.50035 and 5.00055 here; those of 150, 1500 or 15 000 can't."""
+    for t in set(TABLES) - {"customer"}:
+        os.symlink(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
+    rows = "SELECT range AS c_custkey, CAST(range % 24 + if(range < 71, 1, 0) AS INT) AS c_nationkey, (range * 7919 % 1100000) / 100 - 1000 AS c_acctbal, if(range < 11, 'abcdef', 'abcde') AS c_mktsegment FROM range(20000)"
+    duckdb.connect().execute(f"COPY ({rows}) TO '{tmp_path}/customer.parquet'")
+    got = registry.queries()["profile_dataset_customer"](spark, str(tmp_path))
+    assert {r.column_name: r.avg_length or r.mean for r in got.where("column_name <> 'c_acctbal'").collect()} == {"c_nationkey": 11.5003, "c_mktsegment": 5.0005}
+    assert_same(got, str(tmp_path), registry.oracle_sql()["profile_dataset_customer"])
+
+
+def test_profile_of_a_dataset_keeps_the_sign_of_a_zero(spark, sf_dir, tmp_path):
+    """A skewness of -0.000007 is -0.0 in the SQL; both zeros are one distinct value."""
+    for t in set(TABLES) - {"customer"}:
+        os.symlink(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
+    rows = "SELECT range AS c_custkey, CAST(range % 25 AS INT) AS c_nationkey, CASE range WHEN 199 THEN -0.0::DOUBLE WHEN 301 THEN 1.002::DOUBLE ELSE (range - 200) / 100 END AS c_acctbal, 'a' AS c_mktsegment FROM range(501)"
+    duckdb.connect().execute(f"COPY ({rows}) TO '{tmp_path}/customer.parquet'")
+    got = registry.queries()["profile_dataset_customer"](spark, str(tmp_path))
+    [r] = got.where("column_name = 'c_acctbal'").collect()
+    assert (str(r.skewness), r.distinct_count) == ("-0.0", 500)
+    assert_same(got, str(tmp_path), registry.oracle_sql()["profile_dataset_customer"])
+
+
 def test_arrival_prediction_takes_every_event(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect()
     assert len(events) > 300

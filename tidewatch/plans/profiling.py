@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import anomaly, profile
-from tidewatch.plans.support import at, load, query, rounded, values
+from tidewatch.plans.support import at, load, query, round_scaled, rounded, values
 
 
 def profile_sql(source: str, numeric: dict[str, str], text: list[str] = (), other: dict[str, str] | None = None, by: str = "") -> str:
@@ -174,7 +174,8 @@ def profile_dataset_customer(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("histogram")
     size = F.when(h.isNotNull(), F.size(h)).cast("long")
     total = F.aggregate(h, F.lit(0).cast("long"), lambda a, b: a + b["count"])
-    return rounded(p.select("*", size.alias("bins"), total.alias("binned"), F.get(h, F.lit(0))["lower"].alias("first_lower"), F.get(h, F.lit(19))["upper"].alias("last_upper")).drop("histogram", "profiling_duration_ms"))
+    found = p.select("*", size.alias("bins"), total.alias("binned"), F.get(h, F.lit(0))["lower"].alias("first_lower"), F.get(h, F.lit(19))["upper"].alias("last_upper"))
+    return rounded(found.drop("histogram", "profiling_duration_ms"), how=round_scaled)
 
 
 @query(histogram_sql("(SELECT l_discount * 100 AS x FROM lineitem)", "x", 10).replace("WITH v", "WITH a AS (WITH v", 1) + " SELECT 'scaled' AS column_name, * FROM hist), " + histogram_sql("lineitem", "l_quantity", 10).replace("WITH v", "b AS (WITH v", 1).strip() + " SELECT 'l_quantity' AS column_name, * FROM hist) SELECT column_name, position, round(lower, 4) AS lower, round(upper, 4) AS upper, count FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources.store import load
@@ -35,8 +35,18 @@ def at(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def round_scaled(name: str, digits: int) -> Column:
+    """A double rounded as the SQL rounds it, after scaling; ``F.round`` rounds its shortest decimal, so ties may differ (11.50035).
 
+    A zero keeps its sign, as it does there.
+    """
+    x, by = F.col(name), 10.0**digits
+    near = F.round(x * by) / by
+    return F.when(near == 0, x * 0.0).when(F.abs(x * by) < float("inf"), near).otherwise(x)
 
-__all__ = ["QUERIES", "SQL", "at", "load", "query", "rounded", "values"]
+
+def rounded(df: DataFrame, digits: int = 4, how: Callable[[str, int], Column] = F.round) -> DataFrame:
+    return df.select(*[how(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+__all__ = ["QUERIES", "SQL", "at", "load", "query", "round_scaled", "rounded", "values"]
